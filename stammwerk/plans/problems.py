@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stammwerk.operators import column_profile, snapshot_diff
+from stammwerk.operators import column_profile, record_parse, snapshot_diff
+from stammwerk.operators.skew import hot_keys, salted_join
 from stammwerk.sources.tables import table
 
 
@@ -51,5 +52,26 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return snapshot_diff.snapshot_changes(findings, "run_id", _finding_keys(), "loaded_at", ["run_at", "mandt", "finding_id"], ["detail"]).select("run_id", "mandt", "finding_id", "change")
 
 
+def _with_headers(records: DataFrame, heads: DataFrame) -> DataFrame:
+    """The records after the header, each with what its file's header says."""
+    rows = records.filter("record_no > 1 AND raw_text <> ''")
+    return salted_join(rows, heads, "file_id", hot_keys(records, "file_id", records.count()), F.col("record_no"), "left")
+
+
+def _parsed(spark: SparkSession, root: str, **options: bool) -> DataFrame:
+    records = table(spark, root, "raw_records").select("file_id", "record_no", "raw_text")
+    columns = record_parse.file_headers(records, table(spark, root, "source_file"), table(spark, root, "registry_field"))
+    heads = record_parse.headers_by_file(columns).select("file_id", "delimiter", "types")
+    return record_parse.parse(_with_headers(records, heads), **options)
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return _parsed(spark, root, with_cells=False, only_failing=True).select("file_id", "record_no")
+
+
+def p2_rejects(spark: SparkSession, root: str) -> DataFrame:
+    return _parsed(spark, root, with_cells=False, only_failing=True).select("file_id", "record_no", "reason", "error_at", "column_no")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
