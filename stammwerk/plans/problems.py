@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stammwerk.operators import column_profile, record_parse, snapshot_diff
+from stammwerk.operators import column_profile, record_parse, schema_drift, snapshot_diff
 from stammwerk.operators.skew import hot_keys, salted_join
+from stammwerk.session import Scratch
 from stammwerk.sources.tables import table
 
 
@@ -73,5 +74,26 @@ def p2_rejects(spark: SparkSession, root: str) -> DataFrame:
     return _parsed(spark, root, with_cells=False, only_failing=True).select("file_id", "record_no", "reason", "error_at", "column_no")
 
 
+def _columns_and_cells(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The columns of every file, and (file_id, key, cells) of the valid records, both written once."""
+    scratch = Scratch(spark, "drift")
+    records = table(spark, root, "raw_records").select("file_id", "record_no", "raw_text")
+    columns = scratch.write(record_parse.file_headers(records, table(spark, root, "source_file"), table(spark, root, "registry_field")))
+    heads = record_parse.headers_by_file(columns).select("file_id", "delimiter", "types", "key_columns")
+    parsed = record_parse.parse(_with_headers(records, heads)).filter("reason IS NULL")
+    key = F.when(F.size("key_columns") > 0, F.array_join(F.transform("key_columns", lambda p: F.trim(F.try_element_at("cells", p + 1))), "\x1f"))
+    return columns, scratch.write(parsed.select("file_id", key.alias("key"), "cells"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    columns, cells = _columns_and_cells(spark, root)
+    return schema_drift.schema_changes(columns, cells).select("file_id", "header", "change")
+
+
+def p3_changes(spark: SparkSession, root: str) -> DataFrame:
+    columns, cells = _columns_and_cells(spark, root)
+    return schema_drift.schema_changes(columns, cells)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
