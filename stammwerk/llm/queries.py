@@ -2,20 +2,52 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stammwerk.llm import components
+from stammwerk.llm import bpe, components, leakage, shared_spans
 from stammwerk.sources.tables import table
 
 
+#: The folder with the public vocabulary files.
+TOKENIZERS = os.environ.get("STAMMWERK_TOKENIZERS", "/opt/tokenizers")
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     pairs = table(spark, root, "match_pairs").select(*(components.material_key(F.col(c)).alias(c) for c in ("left_schluessel", "right_schluessel")))
     groups = components.connected_groups(pairs, "left_schluessel", "right_schluessel")
     return groups.select(F.col("group").alias("cluster_id"), F.col("key").alias("schluessel"))
 
 
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    return bpe.encode_texts(table(spark, root, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    found = leakage.leaked(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_item"), "item_id", "item_text")
+    return found.select("doc_id", "item_id")
+
+
+def p9_near(spark: SparkSession, root: str) -> DataFrame:
+    """Also windows that differ from the item's by up to two words."""
+    return leakage.leaked(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_item"), "item_id", "item_text", max_edits=2, sampled=6, repetitions=6)
+
+
+def p9_report(spark: SparkSession, root: str) -> DataFrame:
+    """How many documents hold each item."""
+    return p9_found(spark, root).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return shared_spans.sharing_pairs(table(spark, root, "documents"), "doc_id", "text").select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
+
+
+def p10_share(spark: SparkSession, root: str) -> DataFrame:
+    return shared_spans.shared_share(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
