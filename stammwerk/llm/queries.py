@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stammwerk.llm import bpe, components, leakage, shared_spans
+from stammwerk.llm import bpe, components, leakage, shared_spans, truncation
 from stammwerk.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return groups.select(F.col("group").alias("cluster_id"), F.col("key").alias("schluessel"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.judged(table(spark, root, "makt"), "row_id", "system_id", "maktx").filter("cut").select("row_id")
+
+
+def p5_report(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.report(table(spark, root, "makt"), "row_id", "system_id", "maktx").withColumnRenamed("source", "system_id")
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_texts(table(spark, root, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
