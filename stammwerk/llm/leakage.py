@@ -24,9 +24,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BLOCK = 1_000_000
 SLICE = 100_000
@@ -158,20 +160,18 @@ def leaked(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_
     spark = documents.sparkSession
     walks = Walks(width, sampled, repetitions)
     schema = T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("edits", T.IntegerType())])
-    arrow = T.StructType(schema.fields)
     rows = documents.select(f"`{doc_id}`", f"`{text}`").filter(F.col(text) != "")
 
     def search(block: list[tuple[object, list[str]]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(ItemIndex(block, walks))
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(arrow)
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex(block, walks)))
+        target = to_arrow_schema(schema)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items_here = cloudpickle.loads(index.value)
             for batch in batches:
                 for begin in range(0, batch.num_rows, 500):
                     part = batch.slice(begin, 500)
-                    found = index.value.search([words(t) for t in part.column(1).to_pylist()], max_edits)
+                    found = items_here.search([words(t) for t in part.column(1).to_pylist()], max_edits)
                     ids = part.column(0).to_pylist()
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], target.field(0).type), pa.array([item for _, item in found], target.field(1).type), pa.array(list(found.values()), pa.int32())], schema=target)
 

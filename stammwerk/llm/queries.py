@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stammwerk.llm import bpe, components, leakage, shared_spans, truncation
+from stammwerk.llm import bpe, components, leakage, name_links, shared_spans, truncation
 from stammwerk.sources.tables import table
 
 
@@ -30,6 +30,20 @@ def p5_report(spark: SparkSession, root: str) -> DataFrame:
     return truncation.report(table(spark, root, "makt"), "row_id", "system_id", "maktx").withColumnRenamed("source", "system_id")
 
 
+def _partners(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "candidates").select(F.col("schluessel").alias("key"), "name", F.col("stras").alias("street"), F.col("plz").alias("postcode"), F.col("ort").alias("city"), F.col("ustid").alias("vat"), (F.col("stkzn") == "X").alias("person"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = name_links.entity_pairs(name_links.linked_names(_partners(spark, root)))
+    return pairs.select(F.col("key_a").alias("schluessel_a"), F.col("key_b").alias("schluessel_b"))
+
+
+def p7_entities(spark: SparkSession, root: str) -> DataFrame:
+    """One row per linked record with the smallest key of its entity."""
+    return name_links.linked_names(_partners(spark, root)).select(F.col("key").alias("schluessel"), F.col("entity").alias("entity_id"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode_texts(table(spark, root, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
