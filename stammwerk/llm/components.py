@@ -26,31 +26,37 @@ from stammwerk.session import Scratch
 BETA, ROUNDS = 0.5, 3
 
 
+ID_BITS = 43  # of a vertex id; the time that a cluster reaches it stands above, in 1/16 hops
+HOP = 16
+
+
 def _start(vertex: Column, level: int) -> Column:
-    """Minus the vertex's shift, in 1/1000 hops; drawn from the vertex's hash, so a recomputed task draws the same."""
+    """1023 minus the vertex's shift; drawn from the vertex's hash, so a recomputed task draws the same."""
     uniform = (F.pmod(F.xxhash64(vertex, F.lit(level)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return F.round(F.log(uniform) / BETA * 1000).cast("long")
+    return (F.lit(1023) + F.round(F.log(uniform) / BETA * HOP)).cast("long")
 
 
 def _grow(edges: DataFrame, n_edges: int, level: int) -> DataFrame:
     """(v, label): the cluster that reaches each vertex of edges (src, dst; both directions) first."""
     hot = F.broadcast(hot_keys(edges, "src", n_edges).withColumnRenamed("src", "v"))
     salted = edges.join(hot.withColumnRenamed("v", "src"), "src", "left").select("src", "dst", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("_splits")).cast("int")).alias("_salt"))
-    state = edges.select(F.col("src").alias("v")).distinct().select("v", F.struct(_start(F.col("v"), level).alias("at"), F.col("v").alias("label")).alias("best"))
+    state = edges.select(F.col("src").alias("v")).distinct().select("v", F.shiftleft(_start(F.col("v"), level), ID_BITS).bitwiseOR(F.col("v")).alias("best"))
     for _ in range(ROUNDS):
         sent = state.join(hot, "v", "left").select(F.col("v").alias("src"), "best", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)).alias("_salt"))
-        reached = salted.join(sent, ["src", "_salt"]).select(F.col("dst").alias("v"), F.struct((F.col("best.at") + 1000).alias("at"), F.col("best.label").alias("label")).alias("best"))
+        reached = salted.join(sent, ["src", "_salt"]).select(F.col("dst").alias("v"), (F.col("best") + F.lit(HOP << ID_BITS)).alias("best"))
         state = state.unionByName(reached).groupBy("v").agg(F.min("best").alias("best"))
-    return state.select("v", F.col("best.label").alias("label"))
+    return state.select("v", F.col("best").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("label"))
 
 
 def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """(key, group): one row per key in a pair with both sides filled; group is the smallest key of its group."""
-    spark = pairs.sparkSession
-    scratch = Scratch(spark, "groups")
+    scratch = Scratch(pairs.sparkSession, "groups")
     links = pairs.select(F.col(f"`{left}`").cast("string").alias("a"), F.col(f"`{right}`").cast("string").alias("b")).filter("a <> '' AND b <> ''")
     links = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    edges = scratch.write(links.filter("a <> b").select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))))
+    # ids are unique: partition (of at most 1024) and row number, 33 bits
+    keys = scratch.write(links.select(F.explode(F.array("a", "b")).alias("key")).distinct().coalesce(1024).select("key", F.monotonically_increasing_id().alias("id")))
+    numbered = links.filter("a <> b").join(keys.select(F.col("key").alias("a"), F.col("id").alias("src")), "a").join(keys.select(F.col("key").alias("b"), F.col("id").alias("dst")), "b")
+    edges = scratch.write(numbered.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))))
     levels: list[DataFrame] = []
     n_edges = edges.count()
     while n_edges:
@@ -59,18 +65,15 @@ def connected_groups(pairs: DataFrame, left: str, right: str) -> DataFrame:
         inner = edges.join(grown.select(F.col("v").alias("src"), F.col("label").alias("s")), "src").join(grown.select(F.col("v").alias("dst"), F.col("label").alias("d")), "dst")
         edges = scratch.write(inner.filter("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst")).distinct())
         n_edges = edges.count()
-    alone = links.filter("a = b").select(F.col("a").alias("v")).distinct()
     if not levels:
-        return alone.select(F.col("v").alias("key"), F.col("v").alias("group"))
+        return keys.select("key", F.col("key").alias("group"))
     root = levels.pop()
     while levels:
         lower = levels.pop()
         root = lower.join(root.select(F.col("v").alias("label"), F.col("label").alias("_up")), "label", "left").select("v", F.coalesce("_up", "label").alias("label"))
-    root = scratch.write(root)
-    names = root.groupBy("label").agg(F.min("v").alias("group"))
-    named = root.join(names, "label").select(F.col("v").alias("key"), "group")
-    single = alone.join(root.select("v"), "v", "left_anti").select(F.col("v").alias("key"), F.col("v").alias("group"))
-    return named.unionByName(single)
+    root = scratch.write(keys.join(root.withColumnRenamed("v", "id"), "id", "left").select("key", F.coalesce("label", "id").alias("label")))
+    names = root.groupBy("label").agg(F.min("key").alias("group"))
+    return root.join(names, "label").select("key", "group")
 
 
 def material_key(column: Column, width: int = 18) -> Column:
