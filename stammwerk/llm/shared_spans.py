@@ -6,9 +6,12 @@ minimisers, so they meet in one bucket. Before any text travels, the buckets are
 in them; a bucket of one record is dropped. In the others the strings are unpacked into windows (two 64-bit hashes and the
 record), and sorting and counting those gives the windows that more than one record holds.
 
-Hot buckets: nothing is ever gathered per bucket. Windows are counted with partial aggregation; windows held by the same set
-of records (equal count and equal 128-bit sum over their ids) are represented by one of them, so only one window per
-distinct set of records is joined with itself.
+Equal super-k-mers (128-bit hash) are unpacked once, however many records hold them, and carry the number of their records and two
+sums over the hashed ids, which add up per window.
+
+Hot buckets: nothing is ever gathered per bucket. Super-k-mers and windows are counted with partial aggregation; windows held by
+the same set of records (equal count and sums) are represented by one of them, so only one window per distinct set of
+records is joined with itself.
 
 Null and empty texts and those shorter than the span share nothing. Exact copies are ordinary cases. A span repeated inside
 one record only is not shared. Empty tables give no rows. Other columns are not read.
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stammwerk.session import Scratch
 
@@ -76,82 +80,98 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def super_kmers(text: str, span: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, start, end) of the text's super-k-mers; start and end are code points."""
+def super_kmers(text: str, span: int, m: int) -> tuple[np.ndarray, ...]:
+    """(bucket, h1, h2, start, end) of the text's super-k-mers: two hashes of the packed string; start and end in code points."""
     codes = code_points(text)
     if len(codes) < span:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty
+        return (np.zeros(0, np.int64),) * 5
     least = sliding_min(gram_hashes(codes, m, BASES[0]), span - m + 1)
-    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    last = np.concatenate([first[1:], [len(least)]]) - 1
-    return least[first].view(np.int64), first.astype(np.int64), (last + span).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1]).astype(np.int64)
+    end = np.concatenate([first[1:], [len(least)]]).astype(np.int64) - 1 + span
+    strings = []
+    for base in BASES:
+        up, down = _powers(base, len(codes) + 1)
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(_mix(codes.astype(np.uint64) + np.uint64(0x51ED270B)) * up[: len(codes)], out=sums[1:])
+        strings.append(_mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64)).view(np.int64))
+    return least[first].view(np.int64), *strings, first, end
 
 
 def cut(documents: DataFrame, span: int, m: int) -> DataFrame:
-    """(bucket, doc, start, end) for documents (doc, text)."""
+    """(bucket, h1, h2, start, end, doc) for documents (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 made = [super_kmers(t, span, m) for t in part.column(1).to_pylist()]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(b) for b, _, _ in made])
-                joined = [np.concatenate([x[k] for x in made]) if made else np.zeros(0, np.int64) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(joined[0], pa.int64()), pa.array(ids, pa.int64()), pa.array(joined[1].astype(np.int32), pa.int32()), pa.array(joined[2].astype(np.int32), pa.int32())], names=["bucket", "doc", "start", "end"])
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x[0]) for x in made])
+                joined = [np.concatenate([x[k] for x in made]) if made else np.zeros(0, np.int64) for k in range(5)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in joined[:3]), *(pa.array(x.astype(np.int32), pa.int32()) for x in joined[3:]), pa.array(ids, pa.int64())], names=["bucket", "h1", "h2", "start", "end", "doc"])
+
+    return documents.filter(F.length("text") >= span).mapInArrow(run, "bucket long, h1 long, h2 long, start int, end int, doc long")
+
 
-    return documents.filter(F.length("text") >= span).mapInArrow(run, "bucket long, doc long, start int, end int")
+_SIGNS = ["n", "s1", "s2", "least", "most"]
 
 
 def unpack(packed: DataFrame, span: int) -> DataFrame:
-    """(w1, w2, doc, start) for every window of packed strings (doc, start, packed)."""
+    """(w1, w2, at) and the other columns for every window of packed strings."""
+    others = [f for f in packed.schema.fields if f.name != "packed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                first, second, ids, starts = [], [], [], []
-                for doc, start, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                hashes = []
+                for text in part.column("packed").to_pylist():
                     codes = code_points(text)
-                    hashes = gram_hashes(codes, span, BASES[0])
-                    first.append(hashes)
-                    second.append(gram_hashes(codes, span, BASES[1]))
-                    ids.append(np.full(len(hashes), doc, dtype=np.int64))
-                    starts.append(np.arange(start, start + len(hashes), dtype=np.int32))
-                if first:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts), pa.int32())], names=["w1", "w2", "doc", "start"])
+                    hashes.append([gram_hashes(codes, span, base) for base in BASES])
+                counts = [len(h[0]) for h in hashes]
+                if not sum(counts):
+                    continue
+                rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+                at = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+                own = [pa.array(np.concatenate([h[k] for h in hashes]).view(np.int64)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(at), *(part.column(f.name).take(rows) for f in others)], names=["w1", "w2", "at", *(f.name for f in others)])
 
-    return packed.select("doc", "start", "packed").mapInArrow(run, "w1 long, w2 long, doc long, start int")
+    return packed.mapInArrow(run, T.StructType([*(T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("at", T.IntegerType())), *others]))
 
 
-def shared_windows(documents: DataFrame, doc_id: str, text: str, span: int = 300, m: int = MINIMISER) -> tuple[DataFrame, DataFrame]:
-    """(windows, counts): all windows (w1, w2, doc, start) in buckets of several records, and of those held by
-    several records (w1, w2, n, s1, s2): the number of records and two sums over their hashed ids."""
+def shared_windows(documents: DataFrame, doc_id: str, text: str, span: int = 300, m: int = MINIMISER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pieces, windows, counts): the super-k-mers (bucket, h1, h2, start, end, doc) in buckets of several records, the windows
+    (w1, w2, at, h1, h2, signs) of the distinct ones, and the windows that several records hold (w1, w2, signs)."""
     scratch = Scratch(documents.sparkSession, "spans")
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).filter("doc IS NOT NULL")
-    pieces = scratch.write(cut(docs, span, m))
-    several = pieces.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("bucket")
-    wanted = scratch.write(pieces.join(several, "bucket", "left_semi"))
-    packed = docs.join(wanted, "doc").select("bucket", "doc", "start", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("packed"))
+    every = scratch.write(cut(docs, span, m))
+    several = every.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("bucket")
+    pieces = scratch.write(every.join(several, "bucket", "left_semi"))
+    sign = lambda seed: F.sum(F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 31)))
+    held = pieces.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), sign(1).alias("s1"), sign(2).alias("s2"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.min(F.struct("doc", "start", "end")).alias("_p")).select("h1", "h2", *_SIGNS, "_p.*")
+    packed = docs.join(held, "doc").select("h1", "h2", *_SIGNS, F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("packed"))
     windows = scratch.write(unpack(packed, span))
-    held = windows.select("w1", "w2", "doc").distinct()
-    counts = held.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("doc", F.lit(5)).cast("decimal(38,0)")).alias("s2")).filter("n > 1")
-    return windows, counts
+    counts = windows.groupBy("w1", "w2").agg(*(F.sum(c).alias(c) for c in _SIGNS[:3]), F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most")
+    return pieces, windows, counts
 
 
 def sharing_pairs(documents: DataFrame, doc_id: str, text: str, span: int = 300) -> DataFrame:
     """(doc_a, doc_b), a smaller: all pairs of records that share a span."""
-    windows, counts = shared_windows(documents, doc_id, text, span)
+    pieces, windows, counts = shared_windows(documents, doc_id, text, span)
     chosen = counts.groupBy("n", "s1", "s2").agg(F.min(F.struct("w1", "w2")).alias("w")).select("w.w1", "w.w2")
-    kept = windows.join(chosen, ["w1", "w2"], "left_semi").select("w1", "w2", "doc").distinct()
+    kept = windows.join(chosen, ["w1", "w2"], "left_semi").select("w1", "w2", "h1", "h2").distinct().join(pieces.select("h1", "h2", "doc"), ["h1", "h2"]).select("w1", "w2", "doc").distinct()
     return kept.withColumnRenamed("doc", "doc_a").join(kept.withColumnRenamed("doc", "doc_b"), ["w1", "w2"]).filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
 
 def shared_share(documents: DataFrame, doc_id: str, text: str, span: int = 300) -> DataFrame:
-    """(doc, n_chars, shared_chars, share): how much of each sharing record stands elsewhere; the window is over one record."""
-    windows, counts = shared_windows(documents, doc_id, text, span)
-    at = windows.join(counts.select("w1", "w2"), ["w1", "w2"], "left_semi").select("doc", "start").distinct()
-    ahead = F.lead("start").over(W.partitionBy("doc").orderBy("start"))
-    covered = at.select("doc", F.least(F.coalesce(ahead - F.col("start"), F.lit(span)), F.lit(span)).alias("c")).groupBy("doc").agg(F.sum("c").alias("shared_chars"))
+    """(doc, n_chars, shared_chars, share): how much of each sharing record stands elsewhere too.
+
+    The windows of a distinct super-k-mer and the intervals of a record are merged in order; both are bounded by one text."""
+    pieces, windows, counts = shared_windows(documents, doc_id, text, span)
+    at = windows.join(counts.select("w1", "w2"), ["w1", "w2"], "left_semi").select("h1", "h2", "at").distinct()
+    island = F.col("at") - F.row_number().over(W.partitionBy("h1", "h2").orderBy("at"))
+    runs = at.withColumn("_i", island).groupBy("h1", "h2", "_i").agg(F.min("at").alias("lo"), (F.max("at") + span).alias("hi"))
+    spans = runs.join(pieces, ["h1", "h2"]).select("doc", (F.col("lo") + F.col("start")).alias("lo"), (F.col("hi") + F.col("start")).alias("hi")).distinct()
+    so_far = F.max("hi").over(W.partitionBy("doc").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
+    covered = spans.select("doc", F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce(so_far, F.col("lo"))), F.lit(0)).alias("c")).groupBy("doc").agg(F.sum("c").alias("shared_chars"))
     lengths = documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.length(f"`{text}`").alias("n_chars"))
     return covered.join(lengths, "doc").select("doc", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("share"))
