@@ -95,5 +95,8 @@ def p3_changes(spark: SparkSession, root: str) -> DataFrame:
     return schema_drift.schema_changes(columns, cells)
 
 
+SQL: dict[str, str] = {}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
