@@ -95,7 +95,46 @@ def p3_changes(spark: SparkSession, root: str) -> DataFrame:
     return schema_drift.schema_changes(columns, cells)
 
 
-SQL: dict[str, str] = {}
+_CELLS = """WITH cells AS (
+  SELECT 'mara' AS table_name, 'matkl' AS column_name, load_id, matkl AS value, matkl IN (SELECT matkl FROM t023) AS valid FROM mara
+  UNION ALL SELECT 'mara', 'meins', load_id, meins, meins IN (SELECT msehi FROM t006) FROM mara
+  UNION ALL SELECT 'mara', 'ean11', load_id, ean11, regexp_matches(ean11, '^([0-9]{8}|[0-9]{12,14})$') AND list_sum([substr(ean11, i::INT, 1)::INT * CASE WHEN (length(ean11) - i) % 2 = 1 THEN 3 ELSE 1 END for i in generate_series(1, length(ean11)) if regexp_matches(ean11, '^[0-9]+$')]) % 10 = 0 FROM mara
+  UNION ALL SELECT 'marc', 'dismm', load_id, dismm, regexp_matches(dismm, '^[A-Z][A-Z0-9]$') FROM marc),
+marked AS (SELECT *, trim(coalesce(value, '')) <> '' AS filled FROM cells),
+stats AS (SELECT table_name, column_name, load_id, count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE NOT filled)::BIGINT AS n_empty, count(*) FILTER (WHERE filled)::BIGINT AS n_filled,
+  count(DISTINCT CASE WHEN filled THEN value END)::BIGINT AS n_distinct, min(CASE WHEN filled THEN length(value) END)::INT AS min_length, max(CASE WHEN filled THEN length(value) END)::INT AS max_length,
+  count(*) FILTER (WHERE filled AND NOT coalesce(valid, false))::BIGINT AS n_violations FROM marked GROUP BY ALL)
+"""
+_SHARES = _CELLS + """, shares AS (SELECT m.table_name, m.column_name, m.load_id, {what} AS what, count(*) / any_value(n_filled) AS share FROM marked m JOIN stats s ON (m.table_name, m.column_name, m.load_id) = (s.table_name, s.column_name, s.load_id) WHERE filled GROUP BY ALL),
+moved AS (SELECT table_name, column_name, load_id, what, share AS d FROM shares UNION ALL SELECT table_name, column_name, load_id + 1, what, -share FROM shares),
+shift AS (SELECT table_name, column_name, load_id, sum(abs(d)) / 2 AS shift FROM (SELECT table_name, column_name, load_id, what, sum(d) AS d FROM moved GROUP BY ALL) GROUP BY ALL)
+"""
+_MASK = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(value, '\\p{Lu}', 'A', 'g'), '\\p{Ll}', 'a', 'g'), '[0-9]', '9', 'g'), 'A{4,}', 'A+', 'g'), 'a{4,}', 'a+', 'g'), '9{4,}', '9+', 'g')"
+
+SQL: dict[str, str] = {
+    "p4_found": """WITH f AS (SELECT run_id, coalesce(mandt, '') AS mandt, finding_id, loaded_at,
+      md5(concat_ws(chr(31), coalesce(rule_id, ''), coalesce(rule_version, ''), coalesce(rule_name, ''), coalesce(category, ''), coalesce(category_label, ''), coalesce(requirement, ''), coalesce(severity, ''), coalesce(severity_rank::VARCHAR, ''),
+        coalesce(object_area, ''), coalesce(object_type, ''), coalesce(object_key, ''), coalesce(bukrs, ''),
+        CASE WHEN json_valid(detail) THEN list_sort([k || '=' || json_extract(detail, '$."' || k || '"')::VARCHAR for k in json_keys(detail)])::VARCHAR ELSE coalesce(detail, '') END)) AS h FROM findings),
+    r AS (SELECT run_id, mandt, finding_id, arg_max(h, loaded_at) AS h FROM f GROUP BY ALL)
+    SELECT coalesce(n.run_id, o.run_id + 1)::INT AS run_id, coalesce(n.mandt, o.mandt) AS mandt, coalesce(n.finding_id, o.finding_id) AS finding_id,
+      CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM r n FULL JOIN r o ON n.run_id = o.run_id + 1 AND n.mandt = o.mandt AND n.finding_id = o.finding_id
+    WHERE n.h IS DISTINCT FROM o.h AND coalesce(n.run_id, o.run_id + 1) BETWEEN 2 AND (SELECT max(run_id) FROM findings)""",
+    "p6_profile": _CELLS + "SELECT * FROM stats",
+    "p6_mask_shift": _SHARES.replace("{what}", _MASK) + "SELECT s.table_name, s.column_name, s.load_id, round(shift, 6) AS shift FROM shift s",
+    "p6_masks": _CELLS + f", m AS (SELECT table_name, column_name, load_id, {_MASK} AS mask, count(*)::BIGINT AS n_cells, count(DISTINCT value)::BIGINT AS n_values FROM marked WHERE filled GROUP BY ALL) SELECT m.*, round(n_cells / n_filled, 9) AS share, round(n_cells / n_filled, 9) < 0.01 AS is_rare FROM m JOIN stats s ON (m.table_name, m.column_name, m.load_id) = (s.table_name, s.column_name, s.load_id)",
+    "p6_found": _SHARES.replace("{what}", "value")
+    + """, p AS (SELECT n.table_name, n.column_name, n.load_id, shift, n.column_name = 'ean11' AS ident, n.n_filled > 0 AND o.n_filled > 0 AS both_filled,
+      round(abs(n.n_empty / n.n_rows - o.n_empty / o.n_rows), 9) AS nulls, round(abs(n.n_violations / n.n_filled - o.n_violations / o.n_filled), 9) AS pattern, round(abs(n.n_distinct / n.n_filled - o.n_distinct / o.n_filled), 9) AS distinct_gap,
+      n.min_length <> o.min_length OR n.max_length <> o.max_length AS moved
+      FROM stats n JOIN stats o ON n.table_name = o.table_name AND n.column_name = o.column_name AND n.load_id = o.load_id + 1 LEFT JOIN shift s ON s.table_name = n.table_name AND s.column_name = n.column_name AND s.load_id = n.load_id)
+    SELECT table_name, column_name, load_id, 'nulls' AS kind FROM p WHERE nulls >= 0.08
+    UNION ALL SELECT table_name, column_name, load_id, 'pattern' FROM p WHERE both_filled AND pattern >= 0.06
+    UNION ALL SELECT table_name, column_name, load_id, 'mix' FROM p WHERE both_filled AND NOT ident AND round(shift, 9) >= 0.2
+    UNION ALL SELECT table_name, column_name, load_id, 'distinct' FROM p WHERE both_filled AND ident AND distinct_gap >= 0.1
+    UNION ALL SELECT table_name, column_name, load_id, 'range' FROM p WHERE both_filled AND NOT ident AND moved""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
