@@ -23,7 +23,9 @@ from stammwerk.operators.skew import hot_keys
 from stammwerk.session import Scratch
 
 #: Rate of the exponential shifts, and rounds of growth a level.
-BETA, ROUNDS = 0.5, 3
+BETA, ROUNDS = 0.1, 4
+#: A vertex with more edges than this (and than a 2048th of all) is cut into splits.
+HUB = 20_000
 
 
 ID_BITS = 43  # of a vertex id; the time that a cluster reaches it stands above, in 1/16 hops
@@ -31,19 +33,22 @@ HOP = 16
 
 
 def _start(vertex: Column, level: int) -> Column:
-    """1023 minus the vertex's shift; drawn from the vertex's hash, so a recomputed task draws the same."""
+    """2**16 minus the vertex's shift; drawn from the vertex's hash, so a recomputed task draws the same."""
     uniform = (F.pmod(F.xxhash64(vertex, F.lit(level)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return (F.lit(1023) + F.round(F.log(uniform) / BETA * HOP)).cast("long")
+    return (F.lit(1 << 16) + F.round(F.log(uniform) / BETA * HOP)).cast("long")
 
 
 def _grow(edges: DataFrame, n_edges: int, level: int) -> DataFrame:
     """(v, label): the cluster that reaches each vertex of edges (src, dst; both directions) first."""
-    hot = F.broadcast(hot_keys(edges, "src", n_edges).withColumnRenamed("src", "v"))
-    salted = edges.join(hot.withColumnRenamed("v", "src"), "src", "left").select("src", "dst", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("_splits")).cast("int")).alias("_salt"))
     state = edges.select(F.col("src").alias("v")).distinct().select("v", F.shiftleft(_start(F.col("v"), level), ID_BITS).bitwiseOR(F.col("v")).alias("best"))
+    hot = F.broadcast(hot_keys(edges, "src", n_edges, HUB).withColumnRenamed("src", "v")) if n_edges > HUB else None  # fewer edges hold no hub
+    if hot is not None:
+        edges = edges.join(hot.withColumnRenamed("v", "src"), "src", "left").select("src", "dst", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("_splits")).cast("int")).alias("_salt"))
     for _ in range(ROUNDS):
-        sent = state.join(hot, "v", "left").select(F.col("v").alias("src"), "best", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)).alias("_salt"))
-        reached = salted.join(sent, ["src", "_salt"]).select(F.col("dst").alias("v"), (F.col("best") + F.lit(HOP << ID_BITS)).alias("best"))
+        sent = state.withColumnRenamed("v", "src")
+        if hot is not None:
+            sent = state.join(hot, "v", "left").select(F.col("v").alias("src"), "best", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_splits"), F.lit(1)) - 1)).alias("_salt"))
+        reached = edges.join(sent, ["src"] if hot is None else ["src", "_salt"]).select(F.col("dst").alias("v"), (F.col("best") + F.lit(HOP << ID_BITS)).alias("best"))
         state = state.unionByName(reached).groupBy("v").agg(F.min("best").alias("best"))
     return state.select("v", F.col("best").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("label"))
 
