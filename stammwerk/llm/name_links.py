@@ -6,8 +6,10 @@ abbreviation, a small misspelling or a nickname of a common word counts as it, a
 
 Candidates. The padded 3-grams of the stems give BANDS bands of ROWS MinHash values. Two sets of similarity s meet in a band
 with probability 1 - (1 - s ** ROWS) ** BANDS: 0.97 at 0.4 (two typing errors in a stem of ten letters), 0.05 at 0.05
-(unrelated names). A band key is combined with one piece of evidence that a pair has to share anyway: street and house
-number, postcode, city with the whole stems, or one half of the VAT id; so a site or a name that fills a large part of
+(unrelated names). A band key is combined with
+evidence that a pair has to share anyway: street with postcode, street with city, postcode with city, or one half of the VAT id (each
+with three fifths of the bands, overlapping, so that a pair that shares all is covered by all bands); street or
+postcode alone, for records with gaps, with bands of twice the rows (0.9 at one typing error, nothing at 0.05), and street, postcode or city alone with the whole stems. So a site or a name that fills a large part of
 the table does not by itself make a large bucket, and exact copies are collapsed to one representative before.
 
 Verification. Monge-Elkan: the mean over the stems of the best similarity (1 - Damerau-Levenshtein distance / length; an initial
@@ -331,33 +333,54 @@ def band_keys(records: DataFrame) -> DataFrame:
     seeds = np.random.default_rng(5).integers(1, 2**63, size=(1, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
     factors = np.random.default_rng(6).integers(1, 2**63, size=ROWS, dtype=np.uint64) | np.uint64(1)
 
+    half = 3 * BANDS // 5
+    first, last, middle = slice(0, half), slice(BANDS - half, BANDS), slice((BANDS - half) // 2, (BANDS - half) // 2 + half)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            keys, ids = [], []
-            grams = [sorted({g for stem in s.replace("-", "").split("|") if len(stem) > 1 for p in (f"^^{stem}$$",) for g in (p[i : i + 3] for i in range(len(p) - 2))}) for s in part.stems]
-            flat = np.array([g for gs in grams for g in gs], dtype=object)
-            hashes = pd.util.hash_array(flat) if len(flat) else np.zeros(0, np.uint64)
-            at = 0
-            for row, gs in zip(part.itertuples(index=False), grams, strict=True):
-                if not gs:
-                    continue
-                x = hashes[at : at + len(gs), None] * seeds
-                at += len(gs)
-                x ^= x >> np.uint64(29)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                bands = ((x ^ (x >> np.uint64(32))).min(axis=0).reshape(BANDS, ROWS) * factors).sum(axis=1, dtype=np.uint64)
-                proof = [f"s{row.street}#{row.number}"] if row.street or row.number else []
-                proof += [f"p{row.postcode}"] if row.postcode else []
-                half = len(row.vat) // 2 + 1
-                proof += [f"v{row.vat[:half]}", f"w{row.vat[half:]}"] if row.vat else []
-                texts = pd.util.hash_array(np.array([*proof, f"c{row.city}{row.stems}"], dtype=object))
-                made = (bands[None, :] + texts[:-1, None] * np.uint64(0x9E3779B97F4A7C15)).ravel()
-                if row.city:
-                    made = np.append(made, texts[-1])
-                keys.append(made)
-                ids.append(np.full(len(made), row.id, dtype=np.int64))
-            joined = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pd.DataFrame({"bucket": joined.view(np.int64), "id": np.concatenate(ids) if ids else np.zeros(0, np.int64)})
+        for batch in batches:
+            for begin in range(0, len(batch), 2000):
+                yield keyed(batch.iloc[begin : begin + 2000])
+
+    def keyed(part: pd.DataFrame) -> pd.DataFrame:
+        grams = [sorted({g for stem in s.replace("-", "").split("|") if len(stem) > 1 for p in (f"^^{stem}$$",) for g in (p[i : i + 3] for i in range(len(p) - 2))}) for s in part.stems]
+        counts = np.array([len(gs) for gs in grams], dtype=np.int64)
+        x = pd.util.hash_array(np.array([g for gs in grams for g in gs], dtype=object))[:, None] * seeds if counts.sum() else np.zeros((0, BANDS * ROWS), np.uint64)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        good = np.flatnonzero(counts)
+        least = np.minimum.reduceat(x, (np.cumsum(counts) - counts)[good], axis=0) if len(good) else x
+        bands = (least.reshape(len(good), BANDS, ROWS) * factors).sum(axis=2, dtype=np.uint64)
+        texts: list[str] = []
+        owner: list[int] = []
+        which: list[int] = []
+        for k, row in enumerate(part.iloc[good].itertuples(index=False)):
+            street = f"{row.street}#{row.number}" if row.street or row.number else ""
+            post = "".join(sorted(row.postcode))  # neighbours swapped are a frequent slip
+            cut = len(row.vat) // 2 + 1
+            for code, text in (
+                (0, street and post and f"sp{street}|{post}"), (1, street and row.city and f"sc{street}|{row.city}"), (2, post and row.city and f"pc{post}|{row.city}"),
+                (0, row.vat and f"v{row.vat[:cut]}"), (1, row.vat and f"w{row.vat[cut:]}"),
+                (4, street and f"S{street}"), (4, post and f"P{post}"),
+                (3, street and f"s{street}|{row.stems}"), (3, post and f"p{post}|{row.stems}"), (3, row.city and f"c{row.city}|{row.stems}"),
+            ):
+                if text:
+                    texts.append(text)
+                    owner.append(k)
+                    which.append(code)
+        proof = pd.util.hash_array(np.array(texts, dtype=object)) if texts else np.zeros(0, np.uint64)
+        rows, code, ids = np.array(owner, dtype=np.int64), np.array(which), part.id.to_numpy()[good]
+        keys, own = [proof[code == 3]], [ids[rows[code == 3]]]
+        for c, used in enumerate((first, last, middle)):
+            at = np.flatnonzero(code == c)
+            made = bands[rows[at], used] + proof[at, None] * np.uint64(0x9E3779B97F4A7C15)
+            keys.append(made.ravel())
+            own.append(np.repeat(ids[rows[at]], half))
+        at = np.flatnonzero(code == 4)
+        pairs = bands[:, ::2] * np.uint64(3) + bands[:, 1::2]
+        keys.append((pairs[rows[at]] + proof[at, None] * np.uint64(0x9E3779B97F4A7C15)).ravel())
+        own.append(np.repeat(ids[rows[at]], BANDS // 2))
+        return pd.DataFrame({"bucket": np.concatenate(keys).view(np.int64), "id": np.concatenate(own).astype(np.int64)})
 
     return records.select("id", "stems", "street", "number", "postcode", "city", "vat").mapInPandas(run, "bucket long, id long")
 

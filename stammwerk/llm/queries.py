@@ -71,5 +71,22 @@ def p10_share(spark: SparkSession, root: str) -> DataFrame:
     return shared_spans.shared_share(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
+_P9 = """WITH folded AS (SELECT doc_id AS id, true AS doc, regexp_extract_all(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[a-z0-9]+') AS w FROM documents WHERE text <> ''
+  UNION ALL SELECT item_id, false, regexp_extract_all(replace(replace(replace(replace(lower(item_text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[a-z0-9]+') FROM eval_item WHERE item_text <> ''),
+grams AS (SELECT id, doc, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, doc, w, unnest(generate_series(1, len(w) - 11)) AS i FROM folded WHERE len(w) >= 12)),
+found AS (SELECT DISTINCT d.id AS doc_id, i.id::INT AS item_id FROM grams d JOIN grams i ON d.g = i.g AND d.doc AND NOT i.doc)
+"""
+_P10 = """WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i::INT, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id WHERE a.h IN (SELECT h FROM s)"""
+
+#: The other queries (repeated decomposition, learned vocabularies, name similarity, encoding) have no SQL; they are tested against brute force.
+SQL: dict[str, str] = {
+    "p9_found": _P9 + "SELECT doc_id, item_id FROM found",
+    "p9_report": _P9 + "SELECT item_id, count(*)::BIGINT AS n_documents FROM found GROUP BY 1",
+    "p10_found": _P10,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
