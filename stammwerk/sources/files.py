@@ -9,6 +9,7 @@ import hashlib
 import io
 import re
 import shutil
+import uuid
 from dataclasses import dataclass, field
 from fnmatch import fnmatch
 from pathlib import Path
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from stammwerk.functions.convert import typed_to_text
 from stammwerk.operators import record_parse
+from stammwerk.session import Scratch, scratch_root
 
 SUFFIXES = {".csv", ".txt", ".tsv", ".dat", ".parquet", ".xlsx"}
 DELIMITERS = [";", "\t", "|", ","]
@@ -117,11 +119,16 @@ def clean_header(cells: list[str]) -> list[str]:
     return names
 
 
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """(no, line): the physical lines in order; files of other encodings than UTF-8 are read through the text-encoding reader."""
-    name = {"utf-8-sig": "utf-8", "utf-16-le": "utf-16le", "utf-16-be": "utf-16be", "latin-1": "iso-8859-1", "cp1252": "windows-1252"}.get(encoding, encoding)
-    raw = spark.read.option("wholetext", "false").text(path) if name == "utf-8" else spark.read.option("encoding", name).option("sep", "\x00").option("quote", "").option("mode", "PERMISSIVE").schema("value string").csv(path)
-    return raw.select(F.monotonically_increasing_id().alias("no"), F.regexp_replace("value", "^﻿", "").alias("line"))
+def transcode(spark: SparkSession, path: str, encoding: str) -> str:
+    """The path of a UTF-8 copy in the shared scratch folder, written in pieces of 4 MB; UTF-8 files stay where they are."""
+    if encoding in ("utf-8", "utf-8-sig"):
+        return path
+    target = Path(scratch_root(spark).removeprefix("file://")) / f"utf8-{uuid.uuid4().hex[:12]}-{Path(path).name}"
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with open(path, encoding=encoding, errors="replace", newline="") as source, open(target, "w", encoding="utf-8", newline="") as copy:
+        while piece := source.read(1 << 22):
+            copy.write(piece)
+    return str(target)
 
 
 def read_csv(spark: SparkSession, path: str, info: FormatInfo, short_rows: str = "pad") -> Loaded:
@@ -131,8 +138,8 @@ def read_csv(spark: SparkSession, path: str, info: FormatInfo, short_rows: str =
     with open(path, encoding=info.encoding, newline="", errors="replace") as f:
         header = clean_header(next(csv.reader(f, delimiter=info.delimiter), []))
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in header), T.StructField("_bad", T.StringType())])
-    name = {"utf-8-sig": "utf-8", "latin-1": "iso-8859-1", "cp1252": "windows-1252"}.get(info.encoding, info.encoding)
-    rows = spark.read.schema(schema).csv(path, sep=info.delimiter, header=True, multiLine=True, quote='"', escape='"', encoding=name, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True, nullValue="\x00", emptyValue="")
+    rows = spark.read.schema(schema).csv(transcode(spark, path, info.encoding), sep=info.delimiter, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True, nullValue="\x00", emptyValue="")
+    rows = Scratch(spark, "csv").write(rows)  # rows and rejects come from one parse
     good = rows.filter("_bad IS NULL").select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header))
     bad = rows.filter("_bad IS NOT NULL").select(F.regexp_replace("_bad", r"\r?\n\z", "").alias("raw_text"), F.lit(info.delimiter).alias("delimiter"), F.lit(None).cast("array<string>").alias("types"))
     again = record_parse.parse(bad.withColumn("raw", F.col("raw_text")))
@@ -149,7 +156,8 @@ def read_framed(spark: SparkSession, path: str, info: FormatInfo) -> Loaded:
     head = next((x.strip() for x in lines if x.strip().startswith("|") and not _RULER.match(x.strip())), "||")
     cells = head[1:-1].split("|")
     header = clean_header(cells)
-    rows = _lines(spark, path, info.encoding).select(F.trim(F.regexp_replace("line", r"\r\z", "")).alias("line")).filter(F.startswith("line", F.lit("|")) & ~F.col("line").rlike(_RULER.pattern) & (F.col("line") != head))
+    lines_of = spark.read.text(transcode(spark, path, info.encoding)).select(F.regexp_replace("value", "^﻿", "").alias("line"))
+    rows = lines_of.select(F.trim(F.regexp_replace("line", r"\r\z", "")).alias("line")).filter(F.startswith("line", F.lit("|")) & ~F.col("line").rlike(_RULER.pattern) & (F.col("line") != head))
     split = rows.select("line", F.split(F.expr("substring(line, 2, length(line) - 2)"), r"\|", -1).alias("cells"))
     whole = (F.size("cells") == len(header)) & F.endswith("line", F.lit("|"))
     table = split.filter(whole).select(*(F.trim(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(header)))
