@@ -1,7 +1,7 @@
 """Variant spellings of names typed by people: candidates by MinHash banding, verified by Monge-Elkan similarity, clustered by stars.
 
 A name is folded, freed of legal forms, titles and "Firma", and split into its partners' or family's own words (stems) and the
-common words: lines of business and given names. Common words are those that at least `COMMON` of the records hold; an
+common words: lines of business and given names. Common words are those that stand beside many different words, at least `COMMON` of the number of names; an
 abbreviation, a small misspelling or a nickname of a common word counts as it, and a common word glued to a stem is cut off.
 
 Candidates. The padded 3-grams of the stems give BANDS bands of ROWS MinHash values. Two sets of similarity s meet in a band
@@ -97,6 +97,7 @@ class NameReader:
         self.given = _GIVEN_OF | {g: g for g in given if g not in _GIVEN_OF}
         self.full = sorted(set(self.given.values()))
         lines = [w for w in common if len(w) >= 5 and w not in LEGAL and w not in self.given]
+        lines = [w for w in lines if not any(o != w and o.startswith(w) for o in lines)]  # abbreviations of others
         self.lines = sorted(w for w in lines if sum(o != w and o.endswith(w) for o in lines) < 2)
         self.known: dict[str, str | None] = {}
         self.called: dict[str, str | None] = {}
@@ -297,15 +298,19 @@ def evidence_agrees(a: tuple, b: tuple) -> bool:
 
 
 def _common_words(df: DataFrame) -> tuple[list[str], list[str]]:
-    """Words of at least COMMON of the firms' records, and of five times that share of the persons': never more than (words per name) / COMMON of each."""
+    """Words that stand beside many others: for firms beside as many as COMMON of the distinct names, for persons five times that.
+
+    So a single name stays a name however many records hold it, and there are never more than (words per name) / COMMON of each."""
     folded = F.lower("name")
     for umlaut, spelled in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         folded = F.replace(folded, F.lit(umlaut), F.lit(spelled))
-    words = df.select(F.coalesce("person", F.lit(False)).alias("person"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(folded, F.lit("([a-z]{4,})"), 1)))).alias("w"))
-    counted = words.groupBy("person", "w").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.filter("w = ''").select("person", F.col("n").alias("_all"))
+    names = df.select(F.coalesce("person", F.lit(False)).alias("person"), F.array_distinct(F.regexp_extract_all(folded, F.lit("([a-z]{4,})"), 1)).alias("_w")).distinct()
+    each = names.select("person", "_w", F.explode("_w").alias("w"))
+    beside = F.array_max(F.transform(F.filter("_w", lambda x: x != F.col("w")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    counted = each.select("person", "w", F.coalesce(beside, F.lit("")).alias("beside")).distinct().groupBy("person", "w").agg(F.count(F.lit(1)).alias("n"))
+    total = names.groupBy("person").agg(F.count(F.lit(1)).alias("_all"))
     share = F.when(F.col("person"), F.lit(5 * COMMON)).otherwise(F.lit(COMMON))
-    kept = counted.filter("w <> ''").join(F.broadcast(total), "person").filter((F.col("n") >= 3) & (F.col("n") >= F.col("_all") * share)).select("person", "w").collect()
+    kept = counted.join(F.broadcast(total), "person").filter((F.col("n") >= 5) & (F.col("n") >= F.col("_all") * share)).select("person", "w").collect()
     persons = sorted(r.w for r in kept if r.person)
     return sorted(r.w for r in kept if not r.person and r.w not in persons), persons
 
