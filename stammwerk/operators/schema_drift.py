@@ -21,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stammwerk.operators.skew import hot_keys, salted_join
+from stammwerk.session import Scratch
+
 FORMS = ["digits", "date", "number"]
 
 
@@ -141,3 +144,38 @@ def schema_changes(columns: DataFrame, cells: DataFrame) -> DataFrame:
     typed = both.join(forms.select("file_id", F.col("name").alias("new"), F.col("form").alias("new_form")), ["file_id", "new"]).join(forms.select(F.col("file_id").alias("prev_file_id"), F.col("name").alias("old"), F.col("form").alias("old_form")), ["prev_file_id", "old"])
     retyped = typed.filter("new_form <> old_form").select("file_id", F.col("new").alias("header"), F.lit("retyped").alias("change"), F.when(F.col("old") != F.col("new"), F.col("old")).alias("old_header"))
     return by_name.unionByName(retyped)
+
+
+def canonical_names(columns: DataFrame, changes: DataFrame) -> DataFrame:
+    """(file_id, pos, name, canonical): the registry field where known, else what the column was called when it first came, over all renames.
+
+    Each column points to itself in the file before (under its old name); pointers are halved round by round, so a series of n files takes
+    about log n rounds."""
+    scratch = Scratch(columns.sparkSession, "names")
+    first = columns.groupBy("file_id", "name").agg(F.min("pos").alias("pos"), F.min("field_name").alias("field_name"))
+    renamed = changes.filter("change = 'renamed'").select("file_id", F.col("header").alias("name"), "old_header")
+    back = first.join(file_order(columns), "file_id", "left").join(renamed, ["file_id", "name"], "left").withColumn("old", F.coalesce("old_header", "name"))
+    there = first.select(F.col("file_id").alias("prev_file_id"), F.col("name").alias("old"), F.lit(True).alias("_there"))
+    linked = back.join(there, ["prev_file_id", "old"], "left")
+    ends = F.col("field_name").isNotNull() | F.col("_there").isNull()
+    here = F.struct(F.col("file_id").alias("f"), F.col("name").alias("n"))
+    nodes = scratch.write(linked.select("file_id", "name", "pos", F.coalesce("field_name", "name").alias("title"), F.when(ends, here).otherwise(F.struct(F.col("prev_file_id").alias("f"), F.col("old").alias("n"))).alias("to")))
+    while True:
+        step = nodes.select(F.col("file_id").alias("_f"), F.col("name").alias("_n"), F.col("to").alias("_next"), F.col("title").alias("_title"))
+        joined = nodes.join(step, (F.col("to.f") == F.col("_f")) & (F.col("to.n") == F.col("_n")))
+        moved = scratch.write(joined.select("file_id", "name", "pos", "title", F.col("_next").alias("to"), F.col("_title").alias("canonical"), (F.col("_next") != F.col("to")).alias("_moved")))
+        if moved.filter("_moved").isEmpty():
+            return moved.select("file_id", "pos", "name", "canonical")
+        nodes = moved.select("file_id", "name", "pos", "title", "to")
+
+
+def unified(columns: DataFrame, changes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(table_name, file_id, record_no, fields): every valid record as a map from canonical name to cell; blank cells are null.
+
+    A second column of a file with the same canonical name is left to the first one. cells: file_id, record_no, cells."""
+    tables = columns.groupBy("file_id").agg(F.min("table_name").alias("table_name"))
+    one = canonical_names(columns, changes).groupBy("file_id", "canonical").agg(F.min("pos").alias("pos"))
+    heads = one.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical"))).alias("_c")).join(tables, "file_id")
+    rows = salted_join(cells, heads, "file_id", hot_keys(cells, "file_id", cells.count()), F.col("record_no"))
+    value = lambda p: F.nullif(F.trim(F.try_element_at("cells", p + 1)), F.lit(""))
+    return rows.select("table_name", "file_id", "record_no", F.map_from_arrays(F.transform("_c", lambda c: c["canonical"]), F.transform("_c", lambda c: value(c["pos"]))).alias("fields"))

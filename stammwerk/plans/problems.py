@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stammwerk.operators import column_profile, record_parse, schema_drift, snapshot_diff
@@ -75,14 +76,14 @@ def p2_rejects(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _columns_and_cells(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """The columns of every file, and (file_id, key, cells) of the valid records, both written once."""
+    """The columns of every file, and (file_id, record_no, key, cells) of the valid records, both written once."""
     scratch = Scratch(spark, "drift")
     records = table(spark, root, "raw_records").select("file_id", "record_no", "raw_text")
     columns = scratch.write(record_parse.file_headers(records, table(spark, root, "source_file"), table(spark, root, "registry_field")))
     heads = record_parse.headers_by_file(columns).select("file_id", "delimiter", "types", "key_columns")
     parsed = record_parse.parse(_with_headers(records, heads)).filter("reason IS NULL")
     key = F.when(F.size("key_columns") > 0, F.array_join(F.transform("key_columns", lambda p: F.trim(F.try_element_at("cells", p + 1))), "\x1f"))
-    return columns, scratch.write(parsed.select("file_id", key.alias("key"), "cells"))
+    return columns, scratch.write(parsed.select("file_id", "record_no", key.alias("key"), "cells"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -95,6 +96,43 @@ def p3_changes(spark: SparkSession, root: str) -> DataFrame:
     return schema_drift.schema_changes(columns, cells)
 
 
+def p3_mapping(spark: SparkSession, root: str) -> DataFrame:
+    """Per file: its headers with the registry fields they name, and the headers that name none."""
+    records = table(spark, root, "raw_records").select("file_id", "record_no", "raw_text")
+    columns = record_parse.file_headers(records, table(spark, root, "source_file"), table(spark, root, "registry_field"))
+    one = columns.groupBy("file_id", "system_id", "table_name", "header").agg(F.min("field_name").alias("field_name"))
+    known = F.array_sort(F.collect_list(F.when(F.col("field_name").isNotNull(), F.struct("header", "field_name"))))
+    return one.groupBy("file_id", "system_id", "table_name").agg(F.map_from_entries(known).alias("header_mapping"), F.array_sort(F.collect_list(F.when(F.col("field_name").isNull(), F.col("header")))).alias("unmapped_columns"))
+
+
+def p3_unified(spark: SparkSession, root: str) -> DataFrame:
+    """All valid records in one consistent table per table_name, one column name per field over all files and renames."""
+    columns, cells = _columns_and_cells(spark, root)
+    changes = Scratch(spark, "changes").write(schema_drift.schema_changes(columns, cells))
+    return schema_drift.unified(columns, changes, cells)
+
+
+def p2_files(spark: SparkSession, root: str) -> DataFrame:
+    """Per file: rejected_rows, up to five reject_samples (the first ones) and incomplete_last_line."""
+    records = table(spark, root, "raw_records").select("file_id", "record_no", "raw_text", "line_end")
+    columns = record_parse.file_headers(records, table(spark, root, "source_file"), table(spark, root, "registry_field"))
+    heads = record_parse.headers_by_file(columns).select("file_id", "delimiter", "types")
+    rejects = record_parse.parse(_with_headers(records.drop("line_end"), heads).withColumn("raw", F.col("raw_text")), with_cells=False, only_failing=True)
+    first = W.partitionBy("file_id").orderBy("record_no", "raw")
+    samples = rejects.withColumn("_r", F.row_number().over(first)).filter("_r <= 5").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("record_no", "raw"))), lambda r: r["raw"]).alias("reject_samples"))
+    counted = rejects.groupBy("file_id").agg(F.count(F.lit(1)).alias("rejected_rows"))
+    last = records.groupBy("file_id").agg((F.max_by(F.coalesce("line_end", F.lit("")), "record_no") == "").alias("incomplete_last_line"))
+    return last.join(counted, "file_id", "left").join(samples, "file_id", "left").select("file_id", F.coalesce("rejected_rows", F.lit(0)).alias("rejected_rows"), F.coalesce("reject_samples", F.array().cast("array<string>")).alias("reject_samples"), "incomplete_last_line")
+
+
+def p4_values(spark: SparkSession, root: str) -> DataFrame:
+    """For changed findings the detail before and after."""
+    findings = table(spark, root, "findings")
+    changes = p4_found(spark, root).filter("change = 'changed'")
+    full = snapshot_diff.changed_values(changes, findings, "run_id", _finding_keys(), "loaded_at")
+    return full.select("run_id", "mandt", "finding_id", F.col("old.detail").alias("old_detail"), F.col("new.detail").alias("new_detail"), F.col("old.severity").alias("old_severity"), F.col("new.severity").alias("new_severity"))
+
+
 _CELLS = """WITH cells AS (
   SELECT 'mara' AS table_name, 'matkl' AS column_name, load_id, matkl AS value, matkl IN (SELECT matkl FROM t023) AS valid FROM mara
   UNION ALL SELECT 'mara', 'meins', load_id, meins, meins IN (SELECT msehi FROM t006) FROM mara
