@@ -87,7 +87,7 @@ def typed_to_text(df: DataFrame) -> DataFrame:
         if kind == "boolean":
             return F.when(c, "X").when(~c, "")
         if kind in ("double", "float"):
-            return F.when((c % 1 == 0) & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).otherwise(c.cast("decimal(38,10)").cast("string"))
+            return F.when((c % 1 == 0) & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).when((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7), c.cast("string")).otherwise(F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"0+\z", ""))
         if kind.startswith("decimal"):
             return F.when(c % 1 == 0, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
         return c.cast("string")

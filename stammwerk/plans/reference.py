@@ -316,3 +316,126 @@ def join_skewed(spark, root):
     items = table(spark, root, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("k"), "l_linenumber")
     orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
     return salted_join(items, orders, "k", hot_keys(items, "k", items.count()), F.col("l_linenumber")).select(F.col("k").alias("l_orderkey"), "l_linenumber", "o_custkey")
+
+
+# ---- more families: ordered unions, samples, top-k, coverage, revenue, file round trips ----
+
+
+@query("SELECT 1 AS severity_rank, 'A-CUS-001' AS rule_id, c_custkey::VARCHAR AS object_key FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 2, 'A-SUP-001', s_suppkey::VARCHAR FROM supplier WHERE s_acctbal < 0")
+def sink_combined(spark, root):
+    """All rules as one union in the order of the report."""
+    facts = _FACTS | {"rule_id": "A-CUS-001"}
+    one = findings.as_findings(table(spark, root, "customer").filter("c_acctbal < 0").select("c_custkey"), facts, ["c_custkey"])
+    two = findings.as_findings(table(spark, root, "supplier").filter("s_acctbal < 0").select("s_suppkey"), facts | {"rule_id": "A-SUP-001", "severity": "medium", "object_area": "supplier"}, ["s_suppkey"])
+    return one.unionByName(two).orderBy("severity_rank", "rule_id", "object_key").select("severity_rank", "rule_id", "object_key")
+
+
+@query("SELECT DISTINCT p_type AS value FROM part ORDER BY 1 LIMIT 50")
+def distinct_sample(spark, root):
+    """The first fifty distinct values: a sampling operator."""
+    return table(spark, root, "part").select(F.col("p_type").alias("value")).distinct().orderBy("value").limit(50)
+
+
+@query("SELECT rule_id, count(*)::BIGINT AS n FROM findings WHERE run_id = 8 GROUP BY 1 ORDER BY n DESC, rule_id LIMIT 15")
+def top_rules(spark, root):
+    """A top-k report."""
+    return table(spark, root, "findings").filter("run_id = 8").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id").limit(15)
+
+
+@query("SELECT object_area, count(*) FILTER (WHERE severity = 'critical')::BIGINT AS n_critical, count(*) FILTER (WHERE severity = 'high')::BIGINT AS n_high, count(DISTINCT object_key)::BIGINT AS n_objects, max(loaded_at) AS latest FROM findings GROUP BY 1")
+def summary_counts(spark, root):
+    return table(spark, root, "findings").groupBy("object_area").agg(F.count_if(F.col("severity") == "critical").alias("n_critical"), F.count_if(F.col("severity") == "high").alias("n_high"), F.count_distinct("object_key").alias("n_objects"), F.max("loaded_at").alias("latest"))
+
+
+@query("WITH need AS (SELECT upper(table_name) AS table_name, list(field_name ORDER BY field_name) AS fields FROM registry_field GROUP BY 1) SELECT system_id, [f for f in fields if NOT list_contains(known_fields, f)] AS missing FROM ingested_table i JOIN need n ON n.table_name = upper(i.table_name)")
+def cov_matrix(spark, root):
+    """Per series the fields of its table that were not delivered."""
+    need = table(spark, root, "registry_field").groupBy(F.upper("table_name").alias("table_name")).agg(F.array_sort(F.collect_set("field_name")).alias("fields"))
+    seen = table(spark, root, "ingested_table").select("system_id", F.upper("table_name").alias("table_name"), "known_fields")
+    return seen.join(need, "table_name").select("system_id", F.array_except("fields", "known_fields").alias("missing"))
+
+
+@query("WITH c AS (SELECT DISTINCT upper(table_name) AS table_name, system_id, unnest(columns_seen) AS name FROM ingested_table), t AS (SELECT table_name, count(DISTINCT system_id)::BIGINT AS n_files FROM c GROUP BY 1) SELECT c.table_name, name, n_files, count(DISTINCT system_id)::BIGINT AS n_with FROM c JOIN t USING (table_name) GROUP BY ALL HAVING count(DISTINCT system_id) < n_files")
+def dv_partial(spark, root):
+    columns = table(spark, root, "ingested_table").select(F.upper("table_name").alias("table_name"), F.col("system_id").alias("file_id"), F.explode("columns_seen").alias("name"))
+    return delivery.partial_columns(columns)
+
+
+@query("SELECT 'mara' AS table_name, 'matkl' AS column_name, 9 AS declared, max(length(matkl))::INT AS max_length FROM mara HAVING max(length(matkl)) > 9 UNION ALL SELECT 'mara', 'meins', 2, max(length(meins))::INT FROM mara HAVING max(length(meins)) > 2")
+def dv_length(spark, root):
+    return delivery.over_declared(table(spark, root, "mara"), {"matkl": 9, "meins": 2}).select(F.lit("mara").alias("table_name"), "column_name", "declared", "max_length")
+
+
+@query("SELECT process, count(*)::BIGINT AS n FROM findings JOIN (VALUES ('area', 'vendor', 'buying'), ('area', 'customer', 'selling'), ('category', 'duplicate', 'cleansing'), ('rule', 'QX-MAT-118', 'planning')) AS m(kind, name, process) ON (kind = 'area' AND name = object_area) OR (kind = 'category' AND name = category) OR (kind = 'rule' AND name = rule_id) WHERE run_id = 8 GROUP BY 1")
+def prc_map(spark, root):
+    """Rules belong to processes by area, category or id; each way is an equi join on its own."""
+    rows = table(spark, root, "findings").filter("run_id = 8")
+    links = spark.createDataFrame([("area", "vendor", "buying"), ("area", "customer", "selling"), ("category", "duplicate", "cleansing"), ("rule", "QX-MAT-118", "planning")], "kind string, name string, process string")
+    named = rows.select(F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in (("area", "object_area"), ("category", "category"), ("rule", "rule_id"))))))
+    return named.join(links, ["kind", "name"]).groupBy("process").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH d AS (SELECT n_name, o_totalprice::DECIMAL(18,2) AS v, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), a AS (SELECT n_name, sum(v) AS volume, count(*)::BIGINT AS documents, (max(m) - min(m) + 1)::BIGINT AS months FROM d GROUP BY 1) SELECT n_name, documents, months, volume::DOUBLE AS volume, round(volume::DOUBLE * 12 / months, 2) AS yearly FROM a")
+def ei_revenue(spark, root):
+    """Volume per group, scaled from the calendar months it spans to a year."""
+    o, c, n = (table(spark, root, t) for t in ("orders", "customer", "nation"))
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
+    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("n_name", money("o_totalprice").alias("v"), month.alias("m"))
+    per = rows.groupBy("n_name").agg(F.sum("v").alias("volume"), F.count(F.lit(1)).alias("documents"), (F.max("m") - F.min("m") + 1).cast("bigint").alias("months"))
+    return per.select("n_name", "documents", "months", F.col("volume").cast("double").alias("volume"), F.round(F.col("volume").cast("double") * 12 / F.col("months"), 2).alias("yearly"))
+
+
+@query("WITH hit AS (SELECT DISTINCT ltrim(split_part(lpad(c_custkey::VARCHAR, 10, '0') || '/x', '/', 1), '0') AS k FROM customer WHERE c_acctbal < 0) SELECT count(DISTINCT o_custkey)::BIGINT AS customers, count(*)::BIGINT AS documents, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS volume FROM orders WHERE o_custkey::VARCHAR IN (SELECT k FROM hit)")
+def ei_volume(spark, root):
+    """Volume of the objects hit by a rule, joined by the first part of the finding's key without leading zeros."""
+    keys = table(spark, root, "customer").filter("c_acctbal < 0").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.lit("/x")).alias("object_key"))
+    hit = keys.select(F.ltrim(F.split_part("object_key", F.lit("/"), F.lit(1)), F.lit("0")).alias("k"))
+    rows = table(spark, root, "orders").withColumn("k", F.col("o_custkey").cast("string")).join(hit, "k", "left_semi")
+    return rows.agg(F.count_distinct("o_custkey").alias("customers"), F.count(F.lit(1)).alias("documents"), F.sum(money("o_totalprice")).cast("double").alias("volume"))
+
+
+@query("SELECT true AS a, false AS b")
+def conv_notation(spark, root):
+    """The decimal mark of a column, voted by all of its values."""
+    prices = F.format_number("p_retailprice", 2)
+    text = table(spark, root, "part").select(F.translate(prices, ",.", ".,").alias("a"), prices.alias("b"))
+    return convert.comma_votes(text, ["a", "b"])
+
+
+@query("SELECT schluessel, regexp_replace(replace(replace(replace(replace(upper(name), 'Ä', 'AE'), 'Ö', 'OE'), 'Ü', 'UE'), 'ẞ', 'SS'), '[^A-Z0-9]', '', 'g') AS key FROM candidates WHERE NOT regexp_matches(upper(name), '[^ -~ÄÖÜẞ]')")
+def norm_key(spark, root):
+    return table(spark, root, "candidates").filter(~F.regexp_replace(F.upper("name"), "[ÄÖÜẞ]", "").rlike("[^ -~]")).select("schluessel", names.norm_key(F.col("name")).alias("key"))
+
+
+def _round_trip(spark: SparkSession, kind: str, text: str) -> DataFrame:
+    """Writes a small text to the scratch folder and reads it as a delivered file."""
+    from pathlib import Path
+
+    from stammwerk.session import Scratch
+    from stammwerk.sources import files
+
+    folder = Path(Scratch(spark, "file").path.removeprefix("file://"))
+    folder.mkdir(parents=True)
+    (folder / "t.txt").write_text(text, encoding="utf-8")
+    return files.load(spark, folder / "t.txt").table
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_nationkey = 3 THEN n_name || ';\"' || chr(10) || 'x' ELSE n_name END AS n_name FROM nation")
+def scan_csv(spark, root):
+    """Nations as a delimited file with quoted delimiters, quotes and line breaks, read back as text."""
+    rows = table(spark, root, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    name = lambda r: r.n_name + (';"\nx' if r.n_nationkey == 3 else "")
+    return _round_trip(spark, "csv", "n_nationkey;n_name\n" + "".join(f'{r.n_nationkey};"{name(r).replace(chr(34), chr(34) * 2)}"\n' for r in rows))
+
+
+@query("SELECT r_regionkey::VARCHAR AS \"Key\", r_name AS \"Name\" FROM region")
+def scan_framed(spark, root):
+    """Regions as a pipe-framed report, read back as text."""
+    rows = table(spark, root, "region").orderBy("r_regionkey").collect()  # 5 rows
+    return _round_trip(spark, "framed", "Report\n" + "-" * 20 + "\n|Key|Name        |\n" + "-" * 20 + "\n" + "".join(f"|{r.r_regionkey:<3}|{r.r_name:<12}|\n" for r in rows) + "-" * 20 + "\n")
+
+
+@query("SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_totalprice % 1 = 0 THEN o_totalprice::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END AS o_totalprice, strftime(o_orderdate, '%Y%m%d') AS o_orderdate FROM orders")
+def scan_parquet(spark, root):
+    """Typed columns as canonical text."""
+    return convert.typed_to_text(table(spark, root, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"))
