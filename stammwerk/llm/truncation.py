@@ -11,7 +11,7 @@ least `spike` times as many texts as the three lengths below on average, has at
 Cut texts. At a limit: the last token is broken, or is a shape that goes on more often than it is complete, or never ends a
 text elsewhere although it is common (a number without its unit, a label without its number). Away from limits, in sources
 where at least `stray` of the texts there end broken (lost in transfer): the same, but only for tokens never seen complete.
-A last character that is the replacement character is half a character: cut. Terminal punctuation (an abbreviation's point, closing brackets) is a
+A last character that is the replacement character is half a character: cut, wherever it stands. Terminal punctuation (an abbreviation's point, closing brackets) is a
 real end.
 
 Null and blank texts are never cut. Repeated rows are judged each on their own. A null source is a source. The vocabulary is counted
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stammwerk.session import Scratch
+
 SPIKE, EVIDENCE, SHARE, STRAY, COMMON = 1.6, 0.15, 0.02, 0.005, 30
 ENDS = r"[.!?)\]}:;\"'%-]\z"
 
@@ -73,7 +75,8 @@ def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     real_end = F.col("final").rlike(ENDS)
     half = F.col("final") == "�"
     looked = rows.drop("inner").join(known.withColumnRenamed("token", "last"), "last", "left").withColumn("inner", F.coalesce("inner", F.lit(0))).withColumn("longer", F.coalesce("longer", F.lit(0)))
-    looked = looked.withColumn("broken", half | (~real_end & (F.col("inner") == 0) & (F.col("longer") > 0)))
+    looked = looked.withColumn("half", half).withColumn("broken", half | (~real_end & (F.col("inner") == 0) & (F.col("longer") > 0)))
+    looked = Scratch(df.sparkSession, "texts").write(looked)  # the limits, the losses and the verdicts all start here
     found = F.broadcast(limits(looked).groupBy("source", "unit").agg(F.array_agg("length").alias("_lengths")))
     at = looked.alias("r").join(found.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left").select("r.*", F.coalesce(F.array_contains("_lengths", F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes"))), F.lit(False)).alias("at_limit"))
     stray = F.broadcast(at.filter("NOT at_limit").groupBy("source").agg((F.count_if("broken") >= F.greatest(F.lit(3), F.count(F.lit(1)) * STRAY)).alias("loses")))
@@ -85,7 +88,7 @@ def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     has_digit = F.col("last").rlike("9")
     cut_at_limit = F.col("broken") | (~real_end & ((has_digit & goes_on) | never_last))
     cut_on_way = F.col("broken") & (F.col("ended") == 0) | (~real_end & never_last & (F.col("ended") == 0)) | (~real_end & has_digit & (F.col("ended") == 0) & (F.col("longer") > 0))
-    return seen.select("row_id", "source", "at_limit", F.coalesce(F.when(F.col("at_limit"), cut_at_limit).when(F.col("loses"), cut_on_way).otherwise(F.lit(False)), F.lit(False)).alias("cut"))
+    return seen.select("row_id", "source", "at_limit", F.coalesce(F.when(F.col("half"), F.lit(True)).when(F.col("at_limit"), cut_at_limit).when(F.col("loses"), cut_on_way).otherwise(F.lit(False)), F.lit(False)).alias("cut"))
 
 
 def report(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
