@@ -123,12 +123,16 @@ def transcode(spark: SparkSession, path: str, encoding: str) -> str:
     """The path of a UTF-8 copy in the shared scratch folder, written in pieces of 4 MB; UTF-8 files stay where they are."""
     if encoding in ("utf-8", "utf-8-sig"):
         return path
-    target = Path(scratch_root(spark).removeprefix("file://")) / f"utf8-{uuid.uuid4().hex[:12]}-{Path(path).name}"
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with open(path, encoding=encoding, errors="replace", newline="") as source, open(target, "w", encoding="utf-8", newline="") as copy:
-        while piece := source.read(1 << 22):
-            copy.write(piece)
-    return str(target)
+    target = f"{scratch_root(spark)}/utf8-{uuid.uuid4().hex[:12]}-{Path(path).name}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)  # any file system that Spark can reach
+    copy = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    try:
+        with open(path, encoding=encoding, errors="replace", newline="") as source:
+            while piece := source.read(1 << 22):
+                copy.write(bytearray(piece.encode("utf-8")))
+    finally:
+        copy.close()
+    return target
 
 
 def read_csv(spark: SparkSession, path: str, info: FormatInfo, short_rows: str = "pad") -> Loaded:
