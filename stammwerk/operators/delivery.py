@@ -21,9 +21,12 @@ def row_counts(tables: dict[str, DataFrame], reported: dict[str, int], tolerance
     return counted.withColumn("state", F.when(F.col("reported").isNull(), "unreported").when(F.abs(F.col("n_rows") - F.col("reported")) <= F.col("reported") * tolerance, "ok").otherwise("differs"))
 
 
-def length_pile_ups(df: DataFrame, columns: list[str], least_rows: int = 100, least_hits: int = 5, share: float = 0.02, factor: float = 3.0, shortest: int = 10) -> DataFrame:
-    """(column_name, max_length, n_at_max, n_filled): columns whose texts pile up at their greatest length. One pass."""
-    cells = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.length(F.col(f"`{c}`").cast("string")).alias("l")) for c in columns)))).filter("l > 0")
+def length_pile_ups(df: DataFrame, columns: list[str], least_rows: int = 100, least_hits: int = 5, share: float = 0.02, factor: float = 3.0, shortest: int = 10, source: str | None = None) -> DataFrame:
+    """(column_name, max_length, n_at_max, n_filled): columns whose texts pile up at their greatest length. One pass.
+
+    With a source column each source is judged on its own, and column_name is source.column."""
+    title = lambda c: F.concat_ws(".", F.col(f"`{source}`"), F.lit(c)) if source else F.lit(c)
+    cells = df.select(F.inline(F.array(*(F.struct(title(c).alias("column_name"), F.length(F.col(f"`{c}`").cast("string")).alias("l")) for c in columns)))).filter("l > 0")
     counts = cells.groupBy("column_name", "l").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy("column_name").agg(F.max("l").alias("max_length"), F.sum("n").alias("n_filled"))
     near = counts.join(top, "column_name").groupBy("column_name", "max_length", "n_filled").agg(F.sum(F.when(F.col("l") == F.col("max_length"), F.col("n"))).alias("n_at_max"), (F.coalesce(F.sum(F.when((F.col("l") < F.col("max_length")) & (F.col("l") >= F.col("max_length") - 3), F.col("n"))), F.lit(0)) / 3).alias("below"))

@@ -173,13 +173,10 @@ def dv_clients(spark, root):
     return delivery.clients(table(spark, root, "mara"), "mandt", ["100", "900"])
 
 
-@query("WITH c AS (SELECT system_id AS column_name, length(maktx) AS l, count(*) AS n FROM makt WHERE length(maktx) > 0 GROUP BY ALL), t AS (SELECT column_name, max(l) AS m, sum(n) AS f FROM c GROUP BY 1), x AS (SELECT t.column_name, m, f, sum(CASE WHEN l = m THEN n END) AS a, coalesce(sum(CASE WHEN l < m AND l >= m - 3 THEN n END), 0) / 3.0 AS b FROM c JOIN t USING (column_name) GROUP BY ALL) SELECT column_name, m::INT AS max_length, a::BIGINT AS n_at_max, f::BIGINT AS n_filled FROM x WHERE f >= 100 AND a >= 5 AND a >= f * 0.02 AND m >= 10 AND a >= 3 * b")
+@query("WITH c AS (SELECT system_id || '.maktx' AS column_name, length(maktx) AS l, count(*) AS n FROM makt WHERE length(maktx) > 0 GROUP BY ALL), t AS (SELECT column_name, max(l) AS m, sum(n) AS f FROM c GROUP BY 1), x AS (SELECT t.column_name, m, f, sum(CASE WHEN l = m THEN n END) AS a, coalesce(sum(CASE WHEN l < m AND l >= m - 3 THEN n END), 0) / 3.0 AS b FROM c JOIN t USING (column_name) GROUP BY ALL) SELECT column_name, m::INT AS max_length, a::BIGINT AS n_at_max, f::BIGINT AS n_filled FROM x WHERE f >= 100 AND a >= 5 AND a >= f * 0.02 AND m >= 10 AND a >= 3 * b")
 def dv_pileup(spark, root):
-    """Each old system is judged as a column of its own: the texts are spread over as many columns."""
-    makt = table(spark, root, "makt")
-    systems = [r.system_id for r in makt.select("system_id").distinct().orderBy("system_id").limit(1000).collect() if r.system_id is not None]
-    wide = makt.select(*(F.when(F.col("system_id") == s, F.col("maktx")).alias(s) for s in systems))
-    return delivery.length_pile_ups(wide, systems)
+    """Each old system is judged on its own."""
+    return delivery.length_pile_ups(table(spark, root, "makt"), ["maktx"], source="system_id")
 
 
 @query("SELECT sha256, count(*)::BIGINT AS n, min(file_id) AS first_file FROM source_file WHERE sha256 IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
