@@ -25,7 +25,8 @@ def _mara_marc_counts(spark: SparkSession, root: str) -> DataFrame:
     kind = F.col("column_name")
     shape = column_profile.mask(F.col("value"))
     valid = F.when(kind == "ean11", column_profile.gtin_valid(F.col("value"))).when(kind == "dismm", shape.isin("AA", "A9") & F.col("value").rlike(r"^[A-Z][A-Z0-9]\z")).otherwise(F.col("_listed"))
-    return column_profile.with_marks(counts.join(listed, ["column_name", "value"], "left"), valid).drop("_listed")
+    marked = column_profile.with_marks(counts.join(listed, ["column_name", "value"], "left"), valid).drop("_listed")
+    return Scratch(spark, "profile").write(marked)  # the tables are read once, all figures come from the counted values
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
