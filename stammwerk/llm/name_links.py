@@ -9,7 +9,7 @@ with probability 1 - (1 - s ** ROWS) ** BANDS: 0.97 at 0.4 (two typing errors in
 (unrelated names). A band key is combined with
 evidence that a pair has to share anyway: street with postcode, street with city, postcode with city, or one half of the VAT id (each
 with three fifths of the bands, overlapping, so that a pair that shares all is covered by all bands); street or
-postcode alone, for records with gaps, with bands of twice the rows (0.9 at one typing error, nothing at 0.05), and street, postcode or city alone with the whole stems. So a site or a name that fills a large part of
+postcode alone, for records with gaps, with bands of twice the rows (0.9 at one typing error, nothing at 0.05), the whole VAT id with SINGLE bands of one row (0.98 at a third), and street, postcode or city alone with the whole stems. So a site or a name that fills a large part of
 the table does not by itself make a large bucket, and exact copies are collapsed to one representative before.
 
 Verification. Monge-Elkan: the mean over the stems of the best similarity (1 - Damerau-Levenshtein distance / length; an initial
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from stammwerk.llm.components import connected_groups
 from stammwerk.session import Scratch
 
-BANDS, ROWS, ME, WORST, COMMON = 20, 2, 0.78, 0.7, 0.004
+BANDS, ROWS, SINGLE, ME, WORST, COMMON = 20, 2, 10, 0.78, 0.7, 0.004
 
 #: Legal forms, titles and fillers (folded, without points), and nicknames of given names.
 LEGAL = set(
@@ -122,7 +122,7 @@ class NameReader:
         exact = [w for w in words if w in self.given]
         names, family = [], []
         for w, g in given:
-            if len(w) == 1 or (g and (w in exact or not exact or len(w) < 10)):
+            if len(w) == 1 or (g and (w in exact or not exact or len(w) < 10 or distance(w, g, 1) <= 1)):
                 names.append(w if len(w) == 1 else g)
             else:
                 family.append(w)
@@ -366,7 +366,7 @@ def band_keys(records: DataFrame) -> DataFrame:
             for code, text in (
                 (0, street and post and f"sp{street}|{post}"), (1, street and row.city and f"sc{street}|{row.city}"), (2, post and row.city and f"pc{post}|{row.city}"),
                 (0, row.vat and f"v{row.vat[:cut]}"), (1, row.vat and f"w{row.vat[cut:]}"),
-                (4, street and f"S{street}"), (4, post and f"P{post}"),
+                (4, street and f"S{street}"), (4, post and f"P{post}"), (5, row.vat and f"V{row.vat}"),
                 (3, street and f"s{street}|{row.stems}"), (3, post and f"p{post}|{row.stems}"), (3, row.city and f"c{row.city}|{row.stems}"),
             ):
                 if text:
@@ -385,6 +385,9 @@ def band_keys(records: DataFrame) -> DataFrame:
         pairs = bands[:, ::2] * np.uint64(3) + bands[:, 1::2]
         keys.append((pairs[rows[at]] + proof[at, None] * np.uint64(0x9E3779B97F4A7C15)).ravel())
         own.append(np.repeat(ids[rows[at]], BANDS // 2))
+        at = np.flatnonzero(code == 5)
+        keys.append((least[:, ::ROWS][:, :SINGLE][rows[at]] + proof[at, None] * np.uint64(0x9E3779B97F4A7C15)).ravel())
+        own.append(np.repeat(ids[rows[at]], SINGLE))
         return pd.DataFrame({"bucket": np.concatenate(keys).view(np.int64), "id": np.concatenate(own).astype(np.int64)})
 
     return records.select("id", "stems", "street", "number", "postcode", "city", "vat").mapInPandas(run, "bucket long, id long")
