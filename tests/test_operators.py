@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import pytest
@@ -37,6 +38,32 @@ def test_fuzzy_pairs_equal_brute_force(spark, cell):
     assert got == expected and got
 
 
+def test_dup_fuzzy_compares_inside_all_blocks(spark, tmp_path):
+    from stammwerk.plans import reference
+
+    rng = random.Random(3)
+    stems = ["Dadrelkazig", "Bomunderov", "Ulsornnehof", "Gropellaeck" * 7]
+    people = [("a", "Zander Kaltwalz", "Weg 1", None, "Bonn", "DE"), ("b", "Zander Kaltwals", None, "11111", "Köln", "DE"), ("c", "Kaltwalz Zander", None, None, None, None), ("d", "Kaltwalz", "Weg 1", "11112", "Bonn", "AT")]
+    for i in range(150):
+        stem = rng.choice(stems)
+        at = rng.randrange(1, 9)
+        people.append((f"k{i:03}", f"{stem[:at]}{rng.choice(['', 'x'])}{stem[at:]} {rng.choice(['Spedition', 'Logistik', 'Metallbau'])} GmbH", rng.choice([None, "Weg 1", "Gartenstr. 7"]), rng.choice([None, "11111", "22222"]), rng.choice([None, "Bonn", "Köln"]), rng.choice([None, "DE", "DE", "AT"])))
+    spark.createDataFrame(people, "schluessel string, name string, stras string, plz string, ort string, land string").write.parquet(f"{tmp_path}/candidates.parquet")
+    keys = names.block_keys(F.col("name"), F.col("land"), F.col("plz"), F.col("ort"))
+    rows = spark.read.parquet(f"{tmp_path}/candidates.parquet").select("schluessel", names.norm_name(F.col("name")), names.norm_address(F.col("stras"), F.col("plz"), F.col("ort")), *keys.values()).collect()
+    expected = set()
+    for x, y in combinations(sorted(rows), 2):
+        if any(a and a == b for a, b in zip(x[3:], y[3:], strict=True)):
+            s, t = (int(names.token_sort_ratio(x[c], y[c]) + 0.5) for c in (1, 2))
+            if s >= 88:
+                expected.add((x[0], y[0], s))
+            elif s >= 70 and x[2] and y[2] and 0.65 * s + 0.35 * t >= 85:
+                expected.add((x[0], y[0], int(0.65 * s + 0.35 * t + 0.5)))
+    got = [(r.left, r.right, r.score) for r in reference.dup_fuzzy(spark, str(tmp_path)).collect()]
+    assert set(got) == expected and len(got) == len(expected) > 500
+    assert {("a", "b"), ("b", "c"), ("a", "c")} & {p[:2] for p in got} >= {("a", "b")}
+
+
 def test_exact_pairs_and_clusters(spark):
     df = spark.createDataFrame([("a", "1", "9"), ("b", "1", None), ("c", "", "9"), ("d", None, None), ("e", "1", ""), ("e", "1", "")], "k string, v string, w string")
     pairs = duplicates.exact_pairs(df, "k", ["v", "w"])
