@@ -98,6 +98,35 @@ def test_recall_of_near_windows():
     assert hit >= 180  # recall of at least 0.9 at one edit
 
 
+def test_recall_of_p9_near_at_two_edits(spark, tmp_path):
+    from stammwerk.llm import queries
+
+    rng = random.Random(12)
+    items, documents, kinds = [], [], []
+    for i in range(900):
+        a = [f"w{rng.randint(0, 1_000_000)}" for _ in range(12)]
+        b = list(a)
+        kind = ("replaced", "dropped", "added")[i % 3]
+        if kind == "replaced":
+            for k in rng.sample(range(12), 2):
+                b[k] = f"other{k}"
+        elif kind == "dropped":
+            del b[rng.randrange(12)]
+            b.append("next")
+        else:
+            b.insert(rng.randrange(12), "new")
+            b = b[:12]
+        kinds.append(kind)
+        items.append((i, " ".join(a)))
+        documents.append((i, " ".join(b)))
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id int, item_text string").write.parquet(f"{tmp_path}/eval_item.parquet")
+    got = {r.doc_id for r in queries.p9_near(spark, str(tmp_path)).collect() if r.doc_id == r.item_id}
+    for kind in set(kinds):
+        held = [i for i, k in enumerate(kinds) if k == kind]
+        assert len(got & set(held)) >= 0.97 * len(held), kind
+
+
 def test_edit_distance():
     assert leakage.edit_distance(list("abcd"), list("axcd"), 2) == 1 and leakage.edit_distance(list("abcd"), list("bcda"), 2) == 2 and leakage.edit_distance(list("ab"), list("cd"), 1) == 2
 
