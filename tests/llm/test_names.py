@@ -82,6 +82,30 @@ def test_recall_against_brute_force(spark):
     assert nl.linked_names(df.limit(0)).count() == 0
 
 
+def test_recall_with_gaps_on_both_sides(spark):
+    rng = random.Random(21)
+    kinds = {
+        "city": ((None, "{p}", "Niedervarden"), ("{s}", None, "Niedervarden")),
+        "street": (("{s}", None, "Bonn"), ("{s}", "{p}", None)),
+        "postcode": ((None, "{p}", "Bonn"), ("{s}", "{p}", None)),
+        "misspelled": (("{s}", "{p}", "Niedervarden"), ("x{s}", "{p}", "Niedervadren")),
+    }
+    rows, expected = [], {kind: set() for kind in kinds}
+    for kind, sides in kinds.items():
+        for i in range(150):
+            stem = "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5))
+            at = rng.randrange(1, 9)
+            typo = stem[:at] + stem[at + 1] + stem[at] + stem[at + 2 :] if i % 2 else stem[:at] + "w" + stem[at + 1 :]
+            street, post = f"Weg {i + 1}", f"{rng.randint(10000, 99999)}"
+            for side, (name, place) in enumerate(zip((stem, typo), sides, strict=True)):
+                rows.append((f"{kind}{i:03}-{side}", f"{name.capitalize()} Logistik GmbH", *(t and t.format(s=street, p=post) for t in place), None, False))
+            expected[kind].add((f"{kind}{i:03}-0", f"{kind}{i:03}-1"))
+    df = spark.createDataFrame(rows, "key string, name string, street string, postcode string, city string, vat string, person boolean")
+    got = {(r.key_a, r.key_b) for r in nl.entity_pairs(nl.linked_names(df)).collect()}
+    for kind, pairs in expected.items():
+        assert len(got & pairs) >= 0.9 * len(pairs), (kind, len(got & pairs))
+
+
 def test_exact_copies(spark):
     df = spark.createDataFrame([(f"{i:02}", "Dadrelkazig Spedition KG", "Weg 1", "11111", "Bonn", None, False) for i in range(12)], "key string, name string, street string, postcode string, city string, vat string, person boolean")
     assert {r.entity for r in nl.linked_names(df).collect()} == {"00"} and nl.entity_pairs(nl.linked_names(df)).count() == 66
