@@ -96,21 +96,38 @@ def fits(kind: str, text: str) -> bool:
     return True
 
 
-CHECKED = ("numc", "flag", "dats", "quan", "curr", "dec")
+#: One letter per registry type, as the tokenizer gets them: a string per header instead of a list.
+CODES = {"numc": "n", "flag": "f", "dats": "d", "quan": "q", "curr": "q", "dec": "q"}
+_KINDS = {ord("n"): "numc", ord("f"): "flag", ord("d"): "dats", ord("q"): "quan"}
+_SHAPES = {ord("n"): "^[0-9]+$", ord("f"): "^[X01]$", ord("q"): f"^(?:[+-]?{_NUMBER}|{_NUMBER}[+-])$"}  # dates are judged one by one
+
+
+def type_codes(types: Column) -> Column:
+    """The letters of a header's types; c for types that take anything; null stays null."""
+    known = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
+    return F.array_join(F.transform(types, lambda t: F.coalesce(F.try_element_at(known, t), F.lit("c"))), "")
+
+
+def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets from 0) of a text column; nulls are empty."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=n + 1, offset=8 * column.offset) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if n and column.buffers()[2] else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 class Tokens:
     """The cells of a batch of records as positions on the tape."""
 
-    def __init__(self, texts: pa.Array, delimiters: list[str | None]):
-        self.texts = texts
+    def __init__(self, texts: pa.Array, delimiters: pa.Array):
         n = len(texts)
-        texts = texts.cast(pa.large_binary())
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=n + 1, offset=8 * texts.offset) if n else np.zeros(1, np.int64)
-        raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if n and texts.buffers()[2] else np.zeros(0, np.uint8)
-        raw = raw[offsets[0] : offsets[-1]]
+        raw, offsets = _buffer(texts)
         lengths = np.diff(offsets)
-        marks = np.array([ord(d[0]) if d else 0 for d in delimiters], dtype=np.uint8)
+        mark_bytes, mark_offsets = _buffer(delimiters)
+        marks = np.zeros(n, dtype=np.uint8)
+        given = np.diff(mark_offsets) > 0
+        marks[given] = mark_bytes[mark_offsets[:-1][given]]
         ends = np.cumsum(lengths + 1) - 1  # of the end marks on the tape
         self.starts, self.ends = ends - lengths, ends
         self.tape = np.zeros(len(raw) + n, dtype=np.uint8)
@@ -118,28 +135,33 @@ class Tokens:
         inner[ends] = False
         self.tape[inner] = raw
         classes = np.zeros(len(self.tape), dtype=np.uint8)
-        classes[inner] = np.where(raw == ord('"'), QUOTE, np.where((raw == np.repeat(marks, lengths)) & (raw != 0), DELIMITER, OTHER))
+        quote = raw == ord('"')
+        classes[inner] = np.where(quote, QUOTE, np.where((raw == np.repeat(marks, lengths)) & (raw != 0), DELIMITER, OTHER))
         classes[ends] = END
-        self.states = run_states(classes)
+        # a record without a quote is at the start of a cell after each delimiter and inside one elsewhere; the others walk through the automaton
+        self.states = np.full(len(classes), PLAIN, dtype=np.uint8)
+        self.states[:1] = START
+        self.states[1:][classes[:-1] >= DELIMITER] = START
+        quoted = np.zeros(n, dtype=bool)
+        quoted[np.searchsorted(offsets, np.flatnonzero(quote), "right") - 1] = True
+        if quoted.any():
+            walked = np.repeat(quoted, lengths + 1)
+            self.states[walked] = run_states(classes[walked])
         cut = (classes == END) | ((classes == DELIMITER) & (self.states != QUOTED) & (self.states != BROKEN))
         self.cell_end = np.flatnonzero(cut)
         self.cell_start = np.concatenate([[0], self.cell_end[:-1] + 1]) if len(self.cell_end) else self.cell_end
         self.record = np.searchsorted(self.ends, self.cell_end)
-        self.first_cell = np.searchsorted(self.record, np.arange(n))
-        self.n_cells = np.bincount(self.record, minlength=n) if n else np.zeros(0, int)
-        self.column = np.arange(len(self.cell_end)) - self.first_cell[self.record] if n else self.cell_end
+        self.first_cell = np.searchsorted(self.record, np.arange(n + 1))
+        self.n_cells = np.diff(self.first_cell)
         self.last_state = self.states[self.ends] if n else np.zeros(0, np.uint8)
-        self.data = self.tape.tobytes()
-
-    def cell(self, k: int) -> str:
-        text = self.data[self.cell_start[k] : self.cell_end[k]]
-        if text[:1] == b'"':
-            text = text[1:-1].replace(b'""', b'"') if len(text) > 1 and text[-1:] == b'"' else text[1:]
-        return text.decode("utf-8", "replace")
+        # opening and closing quotes and the first of two doubled ones are no text
+        text = ~(cut | ((classes == QUOTE) & ((self.states == START) | (self.states == QUOTED))))
+        upto = np.concatenate([[0], np.cumsum(text)])
+        places = np.concatenate([upto[self.cell_start], upto[-1:]]).astype(np.int32)
+        self.values = pa.StringArray.from_buffers(len(self.cell_end), pa.py_buffer(places), pa.py_buffer(self.tape[text]))
 
-    def cells(self, record: int) -> list[str]:
-        first = self.first_cell[record]
-        return [self.cell(k) for k in range(first, first + self.n_cells[record])]
+    def cells(self) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.first_cell.astype(np.int32)), self.values)
 
     def broken_at(self, record: int) -> int:
         """Offset of the first text after a closing quote."""
@@ -147,48 +169,59 @@ class Tokens:
         return int(np.argmax(inside == BROKEN)) - 1
 
 
-def _check(tokens: Tokens, types: list[list[str] | None]) -> tuple[list, list, list]:
+def _misfits(values: pa.Array, kinds: np.ndarray) -> np.ndarray:
+    """Which cells do not fit their kinds; every distinct value is judged once."""
+    wrong = np.zeros(len(kinds), dtype=bool)
+    for kind in np.unique(kinds).tolist():
+        if kind not in _KINDS:
+            continue
+        at = np.flatnonzero(kinds == kind)
+        coded = pc.utf8_trim_whitespace(values.take(pa.array(at))).dictionary_encode()
+        if kind in _SHAPES:
+            good = pc.match_substring_regex(coded.dictionary, _SHAPES[kind]).to_numpy(zero_copy_only=False)
+        else:
+            good = np.array([fits(_KINDS[kind], v) for v in coded.dictionary.to_pylist()], dtype=bool)
+        empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+        wrong[at] = ~(good | empty)[coded.indices.to_numpy(zero_copy_only=False)]
+    return wrong
+
+
+def _check(tokens: Tokens, types: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(reason, error_at, column_no) of every record; types are letters, one per cell, or null."""
     n = len(types)
-    reason: list[str | None] = [None] * n
-    at: list[int | None] = [None] * n
-    column: list[int | None] = [None] * n
-    expected = np.array([-1 if t is None else len(t) for t in types])
+    letters, offsets = _buffer(types)
+    expected = np.where(types.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), -1)
     lengths = tokens.ends - tokens.starts
-    for i in np.flatnonzero(tokens.last_state == QUOTED):
-        reason[i], at[i] = REASONS[0], int(lengths[i])
-    for i in np.flatnonzero(tokens.last_state == BROKEN):
-        reason[i], at[i] = REASONS[1], tokens.broken_at(i)
-    whole = (tokens.last_state != QUOTED) & (tokens.last_state != BROKEN)
-    for i in np.flatnonzero(whole & (expected >= 0) & (tokens.n_cells != expected)):
-        reason[i], at[i] = REASONS[2], int(lengths[i])
-    good = whole & (tokens.n_cells == expected)
-    codes = {k: c for c, k in enumerate(CHECKED, 1)}
-    plans: dict[tuple, np.ndarray] = {}
-    kind = np.zeros(len(tokens.cell_end), dtype=np.uint8)
-    for i in np.flatnonzero(good):
-        key = tuple(types[i])
-        if key not in plans:
-            plans[key] = np.array([codes.get(k, 0) for k in key], dtype=np.uint8)
-        kind[tokens.first_cell[i] : tokens.first_cell[i] + len(key)] = plans[key]
-    known: dict[tuple[int, str], bool] = {}
-    for k in np.flatnonzero(kind):
-        i = tokens.record[k]
-        if reason[i] is not None:
-            continue
-        text = tokens.cell(k).strip()
-        if not text:
-            continue
-        key = (kind[k], text)
-        verdict = known.get(key)
-        if verdict is None:
-            verdict = known[key] = fits(CHECKED[kind[k] - 1], text)
-        if not verdict:
-            reason[i], at[i], column[i] = REASONS[3], int(tokens.cell_start[k] - tokens.starts[i]), int(tokens.column[k])
-    return reason, at, column
+    reason, at, column = np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.int32), np.full(n, -1, dtype=np.int32)
+    open_quote, broken = tokens.last_state == QUOTED, tokens.last_state == BROKEN
+    reason[open_quote], at[open_quote] = 0, lengths[open_quote]
+    for i in np.flatnonzero(broken):
+        reason[i], at[i] = 1, tokens.broken_at(i)
+    whole = ~(open_quote | broken)
+    other = whole & (expected >= 0) & (tokens.n_cells != expected)
+    reason[other], at[other] = 2, lengths[other]
+    good = np.flatnonzero(whole & (tokens.n_cells == expected))
+    sizes = tokens.n_cells[good]
+    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    cells = np.repeat(tokens.first_cell[:-1][good], sizes) + inner
+    kinds = letters[np.repeat(offsets[:-1][good], sizes) + inner]
+    typed = kinds != ord("c")
+    cells, kinds = cells[typed], kinds[typed]
+    wrong = cells[_misfits(tokens.values.take(pa.array(cells)), kinds)]
+    records, first = np.unique(tokens.record[wrong], return_index=True)
+    wrong = wrong[first]
+    reason[records], at[records], column[records] = 3, tokens.cell_start[wrong] - tokens.starts[records], wrong - tokens.first_cell[records]
+    fine = reason < 0
+    names = pa.array(REASONS).take(pa.array(reason, mask=fine))
+    return names, pa.array(at, mask=fine), pa.array(column, mask=column < 0)
 
 
 def parse(df: DataFrame, text: str = "raw_text", delimiter: str = "delimiter", types: str = "types", with_cells: bool = True, only_failing: bool = False) -> DataFrame:
-    """df without text, delimiter and types, plus reason (null where the record is valid), error_at, column_no and, on request, cells."""
+    """df without text, delimiter and types, plus reason (null where the record is valid), error_at, column_no and, on request, cells.
+
+    types is an array of registry types, or their letters as from type_codes."""
+    if isinstance(df.schema[types].dataType, T.ArrayType):
+        df = df.withColumn(types, type_codes(F.col(types)))
     kept = [f for f in df.schema.fields if f.name not in (text, delimiter, types)]
     added = [T.StructField("reason", T.StringType()), T.StructField("error_at", T.IntegerType()), T.StructField("column_no", T.IntegerType())]
     if with_cells:
@@ -199,11 +232,10 @@ def parse(df: DataFrame, text: str = "raw_text", delimiter: str = "delimiter", t
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
                 part = batch.slice(begin, 4096)
-                tokens = Tokens(part.column(text), part.column(delimiter).to_pylist())
-                reason, at, column = _check(tokens, part.column(types).to_pylist())
-                out = [part.column(name) for name in names] + [pa.array(reason, pa.string()), pa.array(at, pa.int32()), pa.array(column, pa.int32())]
+                tokens = Tokens(part.column(text), part.column(delimiter))
+                out = [*(part.column(name) for name in names), *_check(tokens, part.column(types))]
                 if with_cells:
-                    out.append(pa.array([None if reason[i] and only_failing else tokens.cells(i) for i in range(part.num_rows)], pa.list_(pa.string())))
+                    out.append(tokens.cells())
                 made = pa.RecordBatch.from_arrays(out, names=[*names, *(f.name for f in added)])
                 yield made.filter(pc.is_valid(made.column("reason"))) if only_failing else made
 
@@ -249,11 +281,12 @@ def file_headers(records: DataFrame, files: DataFrame, registry: DataFrame) -> D
 
 
 def headers_by_file(columns: DataFrame) -> DataFrame:
-    """One row per file: delimiter, types, names, and key_columns (positions in key order)."""
+    """One row per file: delimiter, types, their letters (codes), names, and key_columns (positions in key order)."""
     one = F.array_sort(F.collect_list(F.struct("pos", "name", "field_type", "key_position")))
     return columns.groupBy("file_id", "delimiter").agg(one.alias("_c")).select(
         "file_id", "delimiter",
         F.transform("_c", lambda c: c["field_type"]).alias("types"),
+        type_codes(F.transform("_c", lambda c: c["field_type"])).alias("codes"),
         F.transform("_c", lambda c: c["name"]).alias("names"),
         F.transform(F.array_sort(F.transform(F.filter("_c", lambda c: c["key_position"].isNotNull()), lambda c: F.struct(c["key_position"].alias("k"), c["pos"].alias("p")))), lambda c: c["p"]).alias("key_columns"),
     )

@@ -58,14 +58,19 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 def _with_headers(records: DataFrame, heads: DataFrame) -> DataFrame:
     """The records after the header, each with what its file's header says."""
     rows = records.filter("record_no > 1 AND raw_text <> ''")
-    return salted_join(rows, heads, "file_id", hot_keys(records, "file_id", records.count()), F.col("record_no"), "left")
+    return salted_join(rows, heads, "file_id", hot_keys(records, "file_id"), F.col("record_no"), "left")
+
+
+def _heads(columns: DataFrame, *more: str) -> DataFrame:
+    """One row per file, written: so the join knows its size, and takes it to the records or the records to it."""
+    heads = record_parse.headers_by_file(columns).select("file_id", "delimiter", F.col("codes").alias("types"), *more)
+    return Scratch(columns.sparkSession, "heads").write(heads)
 
 
 def _parsed(spark: SparkSession, root: str, **options: bool) -> DataFrame:
     records = table(spark, root, "raw_records").select("file_id", "record_no", "raw_text")
     columns = record_parse.file_headers(records, table(spark, root, "source_file"), table(spark, root, "registry_field"))
-    heads = record_parse.headers_by_file(columns).select("file_id", "delimiter", "types")
-    return record_parse.parse(_with_headers(records, heads), **options)
+    return record_parse.parse(_with_headers(records, _heads(columns)), **options)
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -81,8 +86,7 @@ def _columns_and_cells(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     scratch = Scratch(spark, "drift")
     records = table(spark, root, "raw_records").select("file_id", "record_no", "raw_text")
     columns = scratch.write(record_parse.file_headers(records, table(spark, root, "source_file"), table(spark, root, "registry_field")))
-    heads = record_parse.headers_by_file(columns).select("file_id", "delimiter", "types", "key_columns")
-    parsed = record_parse.parse(_with_headers(records, heads)).filter("reason IS NULL")
+    parsed = record_parse.parse(_with_headers(records, _heads(columns, "key_columns"))).filter("reason IS NULL")
     key = F.when(F.size("key_columns") > 0, F.array_join(F.transform("key_columns", lambda p: F.trim(F.try_element_at("cells", p + 1))), "\x1f"))
     return columns, scratch.write(parsed.select("file_id", "record_no", key.alias("key"), "cells"))
 
@@ -117,8 +121,7 @@ def p2_files(spark: SparkSession, root: str) -> DataFrame:
     """Per file: rejected_rows, up to five reject_samples (the first ones) and incomplete_last_line."""
     records = table(spark, root, "raw_records").select("file_id", "record_no", "raw_text", "line_end")
     columns = record_parse.file_headers(records, table(spark, root, "source_file"), table(spark, root, "registry_field"))
-    heads = record_parse.headers_by_file(columns).select("file_id", "delimiter", "types")
-    rejects = record_parse.parse(_with_headers(records.drop("line_end"), heads).withColumn("raw", F.col("raw_text")), with_cells=False, only_failing=True)
+    rejects = record_parse.parse(_with_headers(records.drop("line_end"), _heads(columns)).withColumn("raw", F.col("raw_text")), with_cells=False, only_failing=True)
     first = W.partitionBy("file_id").orderBy("record_no", "raw")
     samples = rejects.withColumn("_r", F.row_number().over(first)).filter("_r <= 5").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("record_no", "raw"))), lambda r: r["raw"]).alias("reject_samples"))
     counted = rejects.groupBy("file_id").agg(F.count(F.lit(1)).alias("rejected_rows"))

@@ -313,7 +313,7 @@ def join_skewed(spark, root):
     """A join that stays balanced when one key holds a large share: hot keys are cut into splits."""
     items = table(spark, root, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("k"), "l_linenumber")
     orders = table(spark, root, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey")
-    return salted_join(items, orders, "k", hot_keys(items, "k", items.count()), F.col("l_linenumber")).select(F.col("k").alias("l_orderkey"), "l_linenumber", "o_custkey")
+    return salted_join(items, orders, "k", hot_keys(items, "k"), F.col("l_linenumber")).select(F.col("k").alias("l_orderkey"), "l_linenumber", "o_custkey")
 
 
 # ---- more families: ordered unions, samples, top-k, coverage, revenue, file round trips ----

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stammwerk.functions import names
 from stammwerk.operators import delivery, duplicates, findings
-from stammwerk.operators.skew import hot_keys, salted_join
+from stammwerk.operators.skew import hot_keys, pairs_within, salted_join
 
 FACTS = {"rule_id": "R-X-001", "rule_version": "1", "rule_name": "n", "category": "risk", "severity": "high", "object_area": "a", "object_type": "t"}
 
@@ -14,11 +14,20 @@ FACTS = {"rule_id": "R-X-001", "rule_version": "1", "rule_name": "n", "category"
 def test_salted_join_equals_join(spark, rows):
     big = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
     small = spark.createDataFrame([(7, "a"), (7, "b"), (1, "c"), (None, "d")], "k long, y string")
-    hot = hot_keys(big, "k", big.count(), least=1000)
+    hot = hot_keys(big, "k", least=1000)
     assert [r.k for r in hot.collect()] == [7]
     assert rows(salted_join(big, small, "k", hot, F.col("x"))) == rows(big.join(small, "k"))
     assert salted_join(big, small, "k", hot, F.col("x"), "left").count() == big.join(small, "k", "left").count()
-    assert salted_join(big.limit(0), small, "k", hot_keys(big.limit(0), "k", 0), F.col("x")).count() == 0
+    assert salted_join(big.limit(0), small, "k", hot_keys(big.limit(0), "k"), F.col("x")).count() == 0
+
+
+@pytest.mark.parametrize("cell", [4, 1000])
+def test_pairs_within_equal_all_pairs(spark, cell):
+    items = [(g, i) for g, n in (("a", 40), ("b", 1), ("c", 2), ("d", 9)) for i in range(n)] + [("a", None), (None, 5), (None, 6)]
+    df = spark.createDataFrame(items, "g string, i int")
+    got = [tuple(r) for r in pairs_within(df, ["g"], "i", cell).collect()]
+    assert sorted(got) == sorted((g, i, j) for g, n in (("a", 40), ("c", 2), ("d", 9)) for i, j in combinations(range(n), 2))
+    assert pairs_within(df.limit(0), ["g"], "i", cell).count() == 0
 
 
 @pytest.mark.parametrize("cell", [3, 2000])
