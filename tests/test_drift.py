@@ -57,3 +57,21 @@ def test_assignment_is_the_best():
                     if all(p in weight for p in zip(ls, rs, strict=True)):
                         best = max(best, sum(weight[p] for p in zip(ls, rs, strict=True)))
         assert got == best
+
+
+def test_sampled_sketches_find_the_same_renames(spark):
+    rng = random.Random(5)
+    rows = [[f"k{i}", f"a{i}", f"b{i % 7}", str(i)] for i in range(3000)]
+    later = [[r[0], r[1] if rng.random() < 0.55 else "else", r[2] if rng.random() < 0.45 else "other", r[3] + "x"] for r in rows if rng.random() < 0.9]
+    pair = make(spark, [(1, "S", None, [("K", "K", 1), ("ALPHA", None, None), ("BETA", None, None), ("GAMMA", None, None)], rows), (2, "S", None, [("K", "K", 1), ("EINS", None, None), ("ZWEI", None, None), ("DREI", None, None)], later)])
+    got = sorted((r.file_id, r.header, r.change, r.old_header) for r in dr.schema_changes(*pair, size=256).collect())
+    assert got == [(2, "BETA", "removed", None), (2, "DREI", "added", None), (2, "EINS", "renamed", "ALPHA"), (2, "GAMMA", "removed", None), (2, "ZWEI", "added", None)]
+    assert got == sorted((r.file_id, r.header, r.change, r.old_header) for r in dr.schema_changes(*pair, size=10_000).collect())
+    wanted = spark.createDataFrame([(1, 1), (2, 1)], "file_id long, pos int")
+    assert all(150 < len(r.sample) < 400 for r in dr.sketches(wanted, pair[1]).collect())
+
+
+def test_names_decide_between_equal_values(spark):
+    rows = [[str(i), "same", "same"] for i in range(5)]
+    pair = make(spark, [(1, "S", None, [("K", "K", 1), ("NETTO", None, None), ("BRUTTO", None, None)], rows), (2, "S", None, [("K", "K", 1), ("BRUTTO2", None, None), ("NETTO2", None, None)], rows)])
+    assert changes(pair) == [(2, "BRUTTO2", "renamed", "BRUTTO"), (2, "NETTO2", "renamed", "NETTO")]
