@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -27,19 +28,48 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master; elsewhere an error, as
+    a folder of one machine would lose rows."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="stammwerk-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, whichever Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, or null where there is none."""
+    place, system = _place(spark, path)
+    if not system.exists(place):
+        return None
+    stream = system.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    place, system = _place(spark, path)
+    stream = system.create(place, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        place, system = _place(spark, path)
+        system.delete(place, True)
     except Exception:  # the session may be gone by then
         pass
 
@@ -50,13 +80,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/stammwerk-{label}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
+        self.written = 0  # number of the last table
         atexit.register(_delete, spark, self.path)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write df and read it back; the new plan starts at the files."""
-        self._n += 1
-        path = f"{self.path}/{self._n}"
+        self.written += 1
+        path = f"{self.path}/{self.written}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
