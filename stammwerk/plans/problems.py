@@ -23,9 +23,11 @@ def _mara_marc_counts(spark: SparkSession, root: str) -> DataFrame:
         .distinct().withColumn("_listed", F.lit(True))
     )
     kind = F.col("column_name")
-    shape = column_profile.mask(F.col("value"))
-    valid = F.when(kind == "ean11", column_profile.gtin_valid(F.col("value"))).when(kind == "dismm", shape.isin("AA", "A9") & F.col("value").rlike(r"^[A-Z][A-Z0-9]\z")).otherwise(F.col("_listed"))
-    marked = column_profile.with_marks(counts.join(listed, ["column_name", "value"], "left"), valid).drop("_listed")
+    valid = F.when(kind == "ean11", column_profile.gtin_valid(F.col("value"))).when(kind == "dismm", F.col("value").rlike(r"^[A-Z][A-Z0-9]\z")).otherwise(F.col("_listed"))
+    # what a valid value can look like: the masks of the lists, two characters, or digits only
+    fixed = spark.createDataFrame([("dismm", "AA"), ("dismm", "A9"), ("ean11", "9+")], "column_name string, mask string")
+    conforming = column_profile.mined_masks(listed).unionByName(fixed)
+    marked = column_profile.with_marks(counts.join(listed, ["column_name", "value"], "left"), valid, conforming).drop("_listed")
     return Scratch(spark, "profile").write(marked)  # the tables are read once, all figures come from the counted values
 
 

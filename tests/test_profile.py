@@ -32,3 +32,16 @@ def test_range_and_masks(spark):
     assert ("a", 2, "range") in {(r.column_name, r.load_id, r.kind) for r in cp.departures(counts, []).collect()}
     masks = {(r.load_id, r["mask"], r.n_cells, r.is_rare) for r in cp.mask_profile(counts, 0.5).collect()}
     assert masks == {(1, "AA", 1, False), (2, "AA", 2, False), (2, "A+", 1, True)}
+
+
+def test_conforming_masks_and_bound(spark):
+    listed = spark.createDataFrame([("a", "AB1"), ("a", "CD2"), ("n", "x")], "column_name string, value string")
+    assert {tuple(r) for r in cp.mined_masks(listed).collect()} == {("a", "AA9"), ("n", "a")}
+    counted = spark.createDataFrame([("a", "AB1", 95), ("a", "zz", 5), ("a", " ", 50)], "column_name string, value string, n long")
+    assert [tuple(r) for r in cp.mined_masks(counted, 0.1).collect()] == [("a", "AA9")]
+    rows = [(1, "AB1", None, "") for _ in range(8)] + [(1, "ab1", None, ""), (1, None, None, "")] + [(2, "CD2", None, "") for _ in range(8)] + [(2, "AB1", None, "")]
+    df = spark.createDataFrame(rows, "load int, a string, n string, load_id string")
+    counts = cp.with_marks(cp.value_counts(df, "t", ["a", "n"], "load"), F.lit(True), cp.mined_masks(listed))
+    assert {(r.load_id, r.n_violations) for r in cp.profile(counts).filter("column_name = 'a'").collect()} == {(1, 1), (2, 0)}
+    found = {(r.column_name, r.load_id, r.kind) for r in cp.departures(counts, []).collect()}
+    assert found == {("a", 2, "nulls"), ("a", 2, "pattern"), ("a", 2, "mix")}  # the masks differ by 0.11, the values by far more
