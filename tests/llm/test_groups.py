@@ -24,9 +24,10 @@ def union_find(pairs):
     return {k: find(k) for k in parent}
 
 
-def groups(spark, pairs):
+def groups(spark, pairs, small=0):
+    """small=0: no graph is finished in one task."""
     df = spark.createDataFrame([(a, b, "x") for a, b in pairs], "a string, b string, key string")
-    return {r.key: r.group for r in components.connected_groups(df, "a", "b").collect()}
+    return {r.key: r.group for r in components.connected_groups(df, "a", "b", small).collect()}
 
 
 CASES = {
@@ -38,9 +39,10 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("small", [0, 200, 100_000])
 @pytest.mark.parametrize("name", CASES)
-def test_like_union_find(spark, name):
-    assert groups(spark, CASES[name]) == union_find(CASES[name])
+def test_like_union_find(spark, name, small):
+    assert groups(spark, CASES[name], small) == union_find(CASES[name])
 
 
 def test_hubs_are_split(spark, monkeypatch):
@@ -52,7 +54,15 @@ def test_hubs_are_split(spark, monkeypatch):
 @given(st.lists(st.tuples(st.sampled_from("abcdefghij"), st.sampled_from("abcdefghij")), max_size=8))
 @settings(max_examples=5, deadline=None)
 def test_small_graphs(spark, pairs):
-    assert groups(spark, pairs) == union_find(pairs)
+    assert groups(spark, pairs, 100_000) == union_find(pairs)
+
+
+def test_one_giant_group(spark):
+    """A third of all rows at one hub and a long chain behind it: one group, named by its smallest key."""
+    pairs = [("hub", f"s{i:05}") for i in range(30_000)] + [(f"c{i:04}", f"c{i + 1:04}") for i in range(3000)] + [("c3000", "hub")] + [(f"x{i}", f"y{i}") for i in range(30_000)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    found = components.connected_groups(df, "a", "b").groupBy("group").count()
+    assert found.filter("count > 2").collect()[0].asDict() == {"group": "c0000", "count": 33_002} and found.count() == 30_001
 
 
 def test_material_key(spark):
