@@ -12,7 +12,8 @@ Cut texts. At a limit: the last token is broken, or is a shape that goes on more
 text elsewhere although it is common (a number without its unit, a label without its number). Away from limits, in sources
 where at least `stray` of the texts there end broken (lost in transfer): the same, but only for tokens never seen complete.
 A last character that is the replacement character is half a character: cut, wherever it stands. Terminal punctuation (an abbreviation's point, closing brackets) is a
-real end.
+real end; but two or more points, an ellipsis or a tilde glued to the last token at a limit are the sign that a system sets where it cuts, and the token before it is
+judged like any other. Away from limits they are a person's way of writing.
 
 Null and blank texts are never cut. Repeated rows are judged each on their own. A null source is a source. The vocabulary is counted
 with partial aggregation and joined by distinct token, never gathered. Empty tables give no rows.
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from stammwerk.session import Scratch
 
-SPIKE, EVIDENCE, SHARE, STRAY, COMMON = 1.6, 0.15, 0.02, 0.005, 30
+#: COMMON is a share of all complete tokens (30 of 1.1 million).
+SPIKE, EVIDENCE, SHARE, STRAY, COMMON = 1.6, 0.15, 0.02, 0.005, 2.7e-5
 ENDS = r"[.!?)\]}:;\"'%-]\z"
+SIGN = r"(?<=[\p{L}\p{N}])(?:\.{2,}|\u2026|~)\z"  # set by a system behind what it cut
 
 
 def tokens(text: Column) -> Column:
@@ -41,12 +44,15 @@ def _prepared(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     base = df.select(F.col(f"`{row_id}`").alias("row_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")).filter(F.trim("text") != "")
     split = base.withColumn("_t", tokens(F.col("text"))).filter(F.size("_t") > 0)
     last = F.try_element_at("_t", F.lit(-1))
-    return split.select("row_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.transform(F.slice("_t", F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0))), shape).alias("inner"), shape(last).alias("last"), F.substring(F.regexp_replace("text", r"\s+\z", ""), -1, 1).alias("final"))
+    return split.select(
+        "row_id", "source", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.transform(F.slice("_t", F.lit(1), F.greatest(F.size("_t") - 1, F.lit(0))), shape).alias("inner"),
+        shape(F.regexp_replace(last, SIGN, "")).alias("last"), last.rlike(SIGN).alias("signed"), F.substring(F.regexp_replace("text", r"\s+\z", ""), -1, 1).alias("final"),
+    )
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
     """(token, inner, longer): how often a token is followed by another, and how often a longer complete token begins with it."""
-    complete = rows.select(F.explode("inner").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    complete = Scratch(rows.sparkSession, "tokens").write(rows.select(F.explode("inner").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     begun = complete.filter(F.length("token") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda k: F.substring(F.col("token"), F.lit(1), k))).alias("token"), "n").groupBy("token").agg(F.sum("n").alias("longer"))
     return complete.withColumnRenamed("n", "inner").join(begun, "token", "full").select("token", F.coalesce("inner", F.lit(0)).alias("inner"), F.coalesce("longer", F.lit(0)).alias("longer"))
 
@@ -70,20 +76,24 @@ def limits(rows: DataFrame) -> DataFrame:
 
 def judged(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     """(row_id, source, at_limit, cut) of every row with a text."""
-    rows = _prepared(df, row_id, source, text)
-    known = vocabulary(rows)
-    real_end = F.col("final").rlike(ENDS)
-    half = F.col("final") == "�"
+    scratch = Scratch(df.sparkSession, "texts")
+    rows = scratch.write(_prepared(df, row_id, source, text))  # split once; the vocabulary and the verdicts start here
+    known = scratch.write(vocabulary(rows))
+    common = F.lit((known.agg(F.sum("inner")).first()[0] or 0) * COMMON)
     looked = rows.drop("inner").join(known.withColumnRenamed("token", "last"), "last", "left").withColumn("inner", F.coalesce("inner", F.lit(0))).withColumn("longer", F.coalesce("longer", F.lit(0)))
-    looked = looked.withColumn("half", half).withColumn("broken", half | (~real_end & (F.col("inner") == 0) & (F.col("longer") > 0)))
-    looked = Scratch(df.sparkSession, "texts").write(looked)  # the limits, the losses and the verdicts all start here
+    half, real_end = F.col("final") == "\ufffd", F.col("final").rlike(ENDS)
+    looked = looked.withColumn("half", half).withColumn("real_end", real_end & ~F.col("signed")).withColumn("broken", half | (~F.col("real_end") & (F.col("inner") == 0) & (F.col("longer") > 0)))
+    looked = scratch.write(looked.drop("final"))  # the limits, the losses and the verdicts all start here
     found = F.broadcast(limits(looked).groupBy("source", "unit").agg(F.array_agg("length").alias("_lengths")))
     at = looked.alias("r").join(found.alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")), "left").select("r.*", F.coalesce(F.array_contains("_lengths", F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes"))), F.lit(False)).alias("at_limit"))
+    at = at.withColumn("real_end", F.col("real_end") | (F.col("signed") & ~F.col("at_limit"))).withColumn("broken", F.col("half") | (F.col("broken") & ~F.col("real_end")))
+    at = scratch.write(at.drop("chars", "bytes", "signed"))
     stray = F.broadcast(at.filter("NOT at_limit").groupBy("source").agg((F.count_if("broken") >= F.greatest(F.lit(3), F.count(F.lit(1)) * STRAY)).alias("loses")))
     at = at.alias("r").join(stray.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")), "left").select("r.*", F.coalesce("loses", F.lit(False)).alias("loses"))
     ended = at.filter("NOT at_limit AND NOT broken AND NOT loses").groupBy("last").agg(F.count(F.lit(1)).alias("ended"))
     seen = at.join(ended, "last", "left").withColumn("ended", F.coalesce("ended", F.lit(0)))
-    never_last = (F.col("ended") * 1000 <= F.col("inner")) & (F.col("inner") >= COMMON)
+    real_end = F.col("real_end")
+    never_last = (F.col("ended") * 1000 <= F.col("inner")) & (F.col("inner") >= common)
     goes_on = F.col("longer") > F.col("inner") + F.col("ended")
     has_digit = F.col("last").rlike("9")
     cut_at_limit = F.col("broken") | (~real_end & ((has_digit & goes_on) | never_last))
