@@ -55,7 +55,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p9_near(spark: SparkSession, root: str) -> DataFrame:
     """Also windows that differ from the item's by up to two words; a window at two edits is found with 0.99 (tested at 0.97)."""
-    return leakage.leaked(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_item"), "item_id", "item_text", max_edits=2, sampled=4, repetitions=12)
+    return leakage.leaked(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_item"), "item_id", "item_text", max_edits=2, sampled=8, repetitions=28)
 
 
 def p9_report(spark: SparkSession, root: str) -> DataFrame:
