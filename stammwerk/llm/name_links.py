@@ -16,7 +16,8 @@ Verification. Monge-Elkan: the mean over the stems of the best similarity (1 - D
 equals a stem it begins), at least ME overall and WORST for each stem, the lines of business (given names) must not contradict; and the address
 or the VAT id agrees apart from gaps and misspellings.
 
-Clusters. Every record joins the star of its neighbour of highest degree; stars joined by a verified link are one entity.
+Clusters. Every record joins the star of its neighbour of highest degree, which contracts the links to those between stars. An entity is asked for
+over links of links, so stars joined by a verified link are one entity; the stars order and shrink that work, they do not change its result.
 
 Null and blank names, and names without a stem, link to nothing. Null keys get no row. Records equal in all compared fields are
 one entity if the address or the VAT id is filled. Empty tables give no rows. Other columns are not read.
@@ -27,6 +28,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,9 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stammwerk.llm.components import connected_groups
+from stammwerk.operators.skew import hot_keys, pairs_within, salted_join
 from stammwerk.session import Scratch
 
 BANDS, ROWS, SINGLE, ME, WORST, COMMON = 20, 2, 10, 0.78, 0.7, 0.004
+#: Most entries of a bucket that are paired in one task as they come.
+CELL = 256
 
 #: Legal forms, titles and fillers (folded, without points), and nicknames of given names.
 LEGAL = set(
@@ -64,12 +69,30 @@ def fold(text: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=1 << 18)
+def _letters(word: str) -> int:
+    """The set of characters as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def distance(a: str, b: str, limit: int) -> int:
     """Damerau-Levenshtein distance of neighbours swapped, or limit + 1 if it is greater."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > limit:
+    # an edit changes the length by one and the set of characters by two at most
+    if abs(len(a) - len(b)) > limit or (_letters(a) ^ _letters(b)).bit_count() > 2 * limit:
         return limit + 1
+    i, n, m = 0, len(a), len(b)
+    while i < n and i < m and a[i] == b[i]:
+        i += 1
+    while n > i and m > i and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[i:n], b[i:m]
+    if not a or not b:
+        return len(a) + len(b)
     older: list[int] = []
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -101,6 +124,7 @@ class NameReader:
         self.lines = sorted(w for w in lines if sum(o != w and o.endswith(w) for o in lines) < 2)
         self.known: dict[str, str | None] = {}
         self.called: dict[str, str | None] = {}
+        self.cuts: dict[str, tuple[str, str] | None] = {}
 
     def given_of(self, word: str) -> str | None:
         """The given name that a word is, shortens or misspells."""
@@ -156,6 +180,14 @@ class NameReader:
         return None
 
     def glued(self, word: str) -> tuple[str, str] | None:
+        """(own word, line of business) of a word that is both in one."""
+        if word not in self.cuts:
+            if len(self.cuts) > 200_000:
+                self.cuts.clear()
+            self.cuts[word] = self._glued(word)
+        return self.cuts[word]
+
+    def _glued(self, word: str) -> tuple[str, str] | None:
         for line in self.lines:
             if len(word) >= len(line) + 4:
                 if word.endswith(line):
@@ -393,6 +425,55 @@ def band_keys(records: DataFrame) -> DataFrame:
     return records.select("id", "stems", "street", "number", "postcode", "city", "vat").mapInPandas(run, "bucket long, id long")
 
 
+def met_in_buckets(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """The distinct pairs (a, b), a smaller, of ids that meet in a bucket of keys (bucket, id). The keys cross the network once.
+
+    A bucket is paired in the task that holds it, unless it has more than CELL entries: then its entries leave the task as they are and
+    are paired in cells of bounded size."""
+
+    def paired(bucket: np.ndarray, ids: np.ndarray, out: list) -> None:
+        for d in range(1, CELL):
+            same = np.flatnonzero(bucket[d:] == bucket[:-d])
+            if not len(same):
+                return
+            x, y = ids[same], ids[same + d]
+            good = x != y
+            out.append((np.minimum(x, y)[good], np.maximum(x, y)[good]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(pairs: list, crowd: list) -> pa.RecordBatch:
+            n, m = sum(len(p[0]) for p in pairs), sum(len(c[0]) for c in crowd)
+            first = np.concatenate([p[0] for p in pairs] + [c[1] for c in crowd] or [np.zeros(0, np.int64)])
+            second = np.concatenate([p[1] for p in pairs] + [np.zeros(m, np.int64)])
+            which = np.concatenate([np.zeros(n, np.int64)] + [c[0] for c in crowd])
+            lone = np.arange(n + m) >= n
+            return pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), pa.array(second.astype(np.int64), mask=lone), pa.array(which.astype(np.int64), mask=~lone)], names=["a", "b", "bucket"])
+
+        bucket, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        crowded = None  # the bucket whose entries are passed on
+        for batch in batches:
+            bucket, ids = np.r_[bucket, batch.column(0).to_numpy()], np.r_[ids, batch.column(1).to_numpy()]
+            if not len(bucket):
+                continue
+            pairs, crowd = [], []
+            size = np.diff(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]))
+            many = np.repeat((size > CELL) | (bucket[np.cumsum(size) - size] == crowded), size)
+            crowd.append((bucket[many], ids[many]))
+            crowded = int(bucket[-1]) if many[-1] else None
+            bucket, ids = bucket[~many], ids[~many]
+            whole = len(bucket) if crowded is not None or not len(bucket) else int(np.flatnonzero(bucket == bucket[-1])[0])
+            paired(bucket[:whole], ids[:whole], pairs)
+            bucket, ids = bucket[whole:], ids[whole:]
+            yield given(pairs, crowd)
+        pairs = []
+        paired(bucket, ids, pairs)
+        yield given(pairs, [])
+
+    met = scratch.write(keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, bucket long").distinct())
+    crowds = pairs_within(met.filter("b IS NULL").select("bucket", F.col("a").alias("id")), ["bucket"], "id").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return met.filter("b IS NOT NULL").select("a", "b").unionByName(crowds).distinct()
+
+
 def _verify(pairs: DataFrame) -> DataFrame:
     fields = ("stems", "line", "given", "street", "number", "postcode", "city", "vat")
 
@@ -427,10 +508,7 @@ def linked_names(df: DataFrame) -> DataFrame:
     fields = ["stems", "line", "given", "street", "number", "postcode", "city", "vat"]
     usable = parsed.filter("stems <> '' AND (street <> '' OR postcode <> '' OR city <> '' OR vat <> '')")
     classes = scratch.write(usable.groupBy(*fields).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    keys = scratch.write(band_keys(classes))
-    several = keys.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("bucket")
-    kept = keys.join(several, "bucket", "left_semi")
-    pairs = kept.withColumnRenamed("id", "a").join(kept.withColumnRenamed("id", "b"), "bucket").filter("a < b").select("a", "b").distinct()
+    pairs = met_in_buckets(band_keys(classes), scratch)
     side = lambda p: classes.select(F.col("id").alias(p), *(F.col(f).alias(f"{p}_{f}") for f in fields))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{p}_{f}" for p in "ab" for f in fields))
     clusters = star_clusters(scratch.write(_verify(full)), scratch)
@@ -439,11 +517,11 @@ def linked_names(df: DataFrame) -> DataFrame:
     condition = same[0]
     for extra in same[1:]:
         condition = condition & extra
-    members = usable.alias("p").join(placed.alias("c"), condition).select("p.key", F.col("c.cluster").alias("cluster"))
+    members = scratch.write(usable.alias("p").join(placed.alias("c"), condition).select("p.key", F.col("c.cluster").alias("cluster")))
     names = members.groupBy("cluster").agg(F.min("key").alias("entity"))
-    return scratch.write(members.join(names, "cluster").select("key", "entity"))
+    return scratch.write(salted_join(members, names, "cluster", hot_keys(members, "cluster"), F.col("key")).select("key", "entity"))
 
 
 def entity_pairs(members: DataFrame) -> DataFrame:
     """(key_a, key_b), a before b, of all records of one entity."""
-    return members.select(F.col("key").alias("key_a"), "entity").join(members.select(F.col("key").alias("key_b"), "entity"), "entity").filter("key_a < key_b").select("key_a", "key_b")
+    return pairs_within(members.distinct(), ["entity"], "key").select("key_a", "key_b").distinct()

@@ -109,3 +109,22 @@ def test_recall_with_gaps_on_both_sides(spark):
 def test_exact_copies(spark):
     df = spark.createDataFrame([(f"{i:02}", "Dadrelkazig Spedition KG", "Weg 1", "11111", "Bonn", None, False) for i in range(12)], "key string, name string, street string, postcode string, city string, vat string, person boolean")
     assert {r.entity for r in nl.linked_names(df).collect()} == {"00"} and nl.entity_pairs(nl.linked_names(df)).count() == 66
+
+
+def test_pairs_of_buckets_like_brute_force(spark, monkeypatch):
+    from stammwerk.session import Scratch
+
+    monkeypatch.setattr(nl, "CELL", 30)
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 100), rng.randint(0, 40)) for _ in range(600)] + [(7, i) for i in range(300)] + [(900, i) for i in range(31)] + [(901, 5), (901, 5)]
+    held = {}
+    for b, i in rows:
+        held.setdefault(b, set()).add(i)
+    expected = {p for ids in held.values() for p in combinations(sorted(ids), 2)}
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [tuple(r) for r in nl.met_in_buckets(spark.createDataFrame(rows, "bucket long, id long"), Scratch(spark, "t")).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(set(got)) and set(got) == expected
