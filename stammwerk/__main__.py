@@ -11,7 +11,7 @@ from pathlib import Path
 from stammwerk.plans import pipeline
 from stammwerk.plans import rules as rl
 from stammwerk.plans.config import ConfigError, read_project
-from stammwerk.session import get_session
+from stammwerk.session import any_session
 from stammwerk.sources.registry import Registry
 
 
@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "purge":
             print(json.dumps(pipeline.purge(project, time.time(), args.yes)))
             return 0
-        spark = get_session()
+        spark = any_session()
         if args.command == "delta":
             from stammwerk.operators.findings import delta_by_rule
 

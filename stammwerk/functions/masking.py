@@ -1,7 +1,9 @@
-"""Deterministic pseudonyms and redaction. A pseudonym is a keyed digest, sha2(key || value); it is not an HMAC."""
+"""Deterministic pseudonyms and redaction. A pseudonym comes from HMAC-SHA256 of the value under the project's key, built from two SQL digests."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,11 @@ def redact(c: Column) -> Column:
 
 
 def digest(c: Column, salt: str) -> Column:
-    return F.sha2(F.concat(F.lit(salt), c), 256)
+    """HMAC-SHA256 (RFC 2104) of a text under a key, in hex."""
+    key = salt.encode("utf-8")
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(c, "UTF-8")), 256))), 256)
 
 
 def _number(c: Column, salt: str, bits: int = 15) -> Column:
@@ -32,12 +38,13 @@ def shape_preserving(c: Column, salt: str) -> Column:
     """Every digit becomes a digit and every letter a letter, by position and digest; other characters stay."""
     places = F.sequence(F.lit(1), F.length(c))
 
-    def one(i: Column) -> Column:
+    def one(i: Column, hashed: Column) -> Column:
         ch = F.substring(c, i, F.lit(1))
-        n = F.conv(F.substring(digest(c, salt), F.pmod(i - 1, F.lit(62)) + 1, F.lit(3)), 16, 10).cast("int")
+        n = F.conv(F.substring(hashed, F.pmod(i - 1, F.lit(62)) + 1, F.lit(3)), 16, 10).cast("int")
         return F.when(ch.rlike("[0-9]"), F.substring(F.lit("0123456789"), n % 10 + 1, F.lit(1))).when(ch.rlike("[A-Z]"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n % 26 + 1, F.lit(1))).when(ch.rlike("[a-z]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), n % 26 + 1, F.lit(1))).otherwise(ch)
 
-    return F.when(c == "", c).otherwise(F.array_join(F.transform(places, one), ""))
+    masked = F.transform(F.array(digest(c, salt)), lambda hashed: F.array_join(F.transform(places, lambda i: one(i, hashed)), ""))  # one digest a value
+    return F.when(c == "", c).otherwise(masked[0])
 
 
 def _mod97_check(bban: Column, country: Column) -> Column:

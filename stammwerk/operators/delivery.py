@@ -54,10 +54,14 @@ def same_content(files: DataFrame) -> DataFrame:
     return files.filter("sha256 IS NOT NULL").groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("first_file")).filter("n > 1")
 
 
+#: Row counts at which exports are known to stop.
+EXPORT_LIMITS = [500, 1000, 5000, 9999, 10000, 50000, 65535, 99999, 100000, 999999, 1000000]
+
+
 def reject_ratio(files: DataFrame, limit: float = 0.05) -> DataFrame:
     """Files whose rejected share is over the limit (blocking) or whose row count is an export limit (warning)."""
     rejected, rows = F.coalesce("rejected_rows", F.lit(0)), F.coalesce("raw_row_count", F.lit(0))
-    state = F.when(rejected > limit * rows, "blocking").when(rows.isin(1000, 5000, 9999, 10000, 20000, 50000, 65535, 65536, 99999, 100000, 200000, 500000, 999999, 1000000, 1048575, 1048576), "export limit")
+    state = F.when(rejected > limit * rows, "blocking").when(rows.isin(EXPORT_LIMITS), "export limit")
     return files.select("file_id", rows.alias("n_rows"), rejected.alias("n_rejected"), state.alias("state")).filter("state IS NOT NULL")
 
 
@@ -88,3 +92,28 @@ def waterfall(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
         label = F.when(condition, i).otherwise(label)
     names = F.create_map(*(F.lit(x) for i, name in enumerate([*(n for n, _ in stages), "remaining"]) for x in (i, name)))
     return df.groupBy(label.alias("position")).agg(F.count(F.lit(1)).alias("n")).select("position", F.element_at(names, F.col("position")).alias("stage"), "n")
+
+
+def cut_off_dates(files: DataFrame) -> DataFrame:
+    """(table_name, state, n_files, first_date, last_date): tables with files of no known date (undocumented) or of several dates (differing).
+
+    files: table_name, file_id, extraction_date. A table can have both states."""
+    per = files.groupBy("table_name").agg(F.count_if(F.col("extraction_date").isNull()).alias("_none"), F.count_distinct("extraction_date").alias("_dates"), F.count(F.lit(1)).alias("n_files"), F.min("extraction_date").alias("first_date"), F.max("extraction_date").alias("last_date"))
+    states = F.array_compact(F.array(F.when(F.col("_none") > 0, "undocumented"), F.when(F.col("_dates") > 1, "differing")))
+    return per.select("table_name", F.explode(states).alias("state"), "n_files", "first_date", "last_date")
+
+
+def usability(tables: DataFrame) -> DataFrame:
+    """(system_id, table_name, problem, blocking, fields) of tables that cannot be used as they are.
+
+    tables: system_id, table_name, row_count, row_count_before_filter, columns_seen, known_fields, missing_key_fields, tier. Missing key fields, no rows at all,
+    and no rows left after the filter block a table of tier `must`; columns that no field is known for only warn."""
+    unknown = F.array_except("columns_seen", F.coalesce("known_fields", F.array().cast("array<string>")))
+    nothing = F.array().cast("array<string>")
+    one = lambda when, name, fields: F.when(when, F.struct(F.lit(name).alias("problem"), F.array_sort(fields).alias("fields")))
+    found = F.array_compact(F.array(
+        one(F.size("missing_key_fields") > 0, "missing key", F.col("missing_key_fields")), one(F.coalesce("row_count_before_filter", "row_count") == 0, "empty", nothing),
+        one((F.col("row_count") == 0) & (F.col("row_count_before_filter") > 0), "empty after filter", nothing), one(F.size(unknown) > 0, "unknown columns", unknown),
+    ))
+    rows = tables.select("system_id", "table_name", "tier", F.inline(found))
+    return rows.select("system_id", "table_name", "problem", ((F.col("problem") != "unknown columns") & (F.lower("tier") == "must")).alias("blocking"), "fields")

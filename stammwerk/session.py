@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import tempfile
 import uuid
@@ -27,6 +28,13 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
+def any_session() -> SparkSession:
+    """The session that is there, or the one that spark-submit or the defaults configure; without a master, a local one."""
+    if SparkSession.getActiveSession() is not None or "PYSPARK_SUBMIT_ARGS" in os.environ or "SPARK_ENV_LOADED" in os.environ:
+        return SparkSession.builder.appName("stammwerk").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return get_session()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master; elsewhere an error, as
     a folder of one machine would lose rows."""

@@ -1,15 +1,17 @@
-"""Files of a delivery: listing, detection of format, encoding and delimiter on the first bytes, readers to all-text tables, and sinks.
+"""Files of a delivery: listing, detection of format, encoding and delimiter, readers to all-text tables, and sinks.
 
-Detection reads at most `PROBE` bytes of a file on the driver; contents are read by Spark. Blank header cells become column_N, repeated ones get a suffix."""
+Format and delimiter are judged by the first lines; the encoding and the hash by the whole file, in one pass in pieces. Contents are read by Spark. Blank header cells become column_N, repeated ones get a suffix."""
 
 from __future__ import annotations
 
+import codecs
 import csv
 import hashlib
-import io
+import itertools
 import re
 import shutil
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from fnmatch import fnmatch
 from pathlib import Path
@@ -50,27 +52,39 @@ def scan_files(root: str | Path, ignore: list[str] = ()) -> list[Path]:
     return sorted(p for p in found if not any(fnmatch(p.name, g) or fnmatch(str(p.relative_to(root)), g) for g in ignore))
 
 
-def file_hash(path: str | Path) -> str:
+def _pieces(path: str | Path) -> Iterator[bytes]:
     with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+        while piece := f.read(PROBE):
+            yield piece
+
+
+def file_hash(path: str | Path) -> str:
+    digest = hashlib.sha256()
+    for piece in _pieces(path):
+        digest.update(piece)
+    return digest.hexdigest()
 
 
-def detect_encoding(head: bytes) -> str:
-    """A byte order mark, then many zero bytes (UTF-16), then valid UTF-8, else cp1252 or latin-1 where bytes are undefined in it."""
+def detect_encoding(pieces: bytes | Iterable[bytes]) -> str:
+    """A byte order mark, then many zero bytes (UTF-16), then valid UTF-8, else cp1252, or latin-1 where bytes are undefined in it.
+
+    The first piece tells marks and zero bytes; UTF-8 and cp1252 must hold to the last byte, so a late byte of another encoding counts."""
+    pieces = iter([pieces] if isinstance(pieces, bytes) else pieces)
+    head = next(pieces, b"")
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if head.startswith(mark):
+        if head.startswith(mark) and name != "utf-8-sig":
             return name
+    marked = head.startswith(b"\xef\xbb\xbf")
     if head and head.count(0) > len(head) * 0.2:
         return "utf-16-le" if head[1::2].count(0) >= head[::2].count(0) else "utf-16-be"
-    try:
-        head[: max(0, len(head) - 4)].decode("utf-8") if len(head) >= PROBE else head.decode("utf-8")
-        return "utf-8"
-    except UnicodeDecodeError:
-        try:
-            head.decode("cp1252")
-            return "cp1252"
-        except UnicodeDecodeError:
-            return "latin-1"
+    able = {"utf-8": codecs.getincrementaldecoder("utf-8")("strict"), "cp1252": codecs.getincrementaldecoder("cp1252")("strict")}
+    for piece in itertools.chain([head], pieces, [None]):
+        for name in list(able):
+            try:
+                able[name].decode(piece or b"", final=piece is None)
+            except UnicodeDecodeError:
+                del able[name]
+    return ("utf-8-sig" if marked else "utf-8") if "utf-8" in able else "cp1252" if "cp1252" in able else "latin-1"
 
 
 def detect_delimiter(lines: list[str]) -> str:
@@ -101,10 +115,9 @@ def detect_format(path: str | Path) -> FormatInfo:
         return FormatInfo("parquet")
     if suffix == ".xlsx":
         return FormatInfo("xlsx")
-    with open(path, "rb") as f:
-        head = f.read(PROBE)
-    encoding = detect_encoding(head)
-    lines = head.decode(encoding, "replace").splitlines()
+    encoding = detect_encoding(_pieces(path))
+    with open(path, encoding=encoding, errors="replace", newline="") as f:
+        lines = f.read(PROBE).splitlines()
     return FormatInfo("framed", encoding) if is_framed(lines) else FormatInfo("csv", encoding, detect_delimiter(lines))
 
 
@@ -120,16 +133,21 @@ def clean_header(cells: list[str]) -> list[str]:
 
 
 def transcode(spark: SparkSession, path: str, encoding: str) -> str:
-    """The path of a UTF-8 copy in the shared scratch folder, written in pieces of 4 MB; UTF-8 files stay where they are."""
+    """The path of a UTF-8 copy in the shared scratch folder, written in pieces of 4 MB; UTF-8 files stay where they are.
+
+    Bytes that the encoding does not know stop the file with an error rather than change it; only UTF-16 can have some, as the others were
+    read to their end."""
     if encoding in ("utf-8", "utf-8-sig"):
         return path
     target = f"{scratch_root(spark)}/utf8-{uuid.uuid4().hex[:12]}-{Path(path).name}"
     place = spark._jvm.org.apache.hadoop.fs.Path(target)  # any file system that Spark can reach
     copy = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
     try:
-        with open(path, encoding=encoding, errors="replace", newline="") as source:
+        with open(path, encoding=encoding, newline="") as source:
             while piece := source.read(1 << 22):
                 copy.write(bytearray(piece.encode("utf-8")))
+    except UnicodeDecodeError as problem:
+        raise ValueError(f"{Path(path).name}: bytes that are not {encoding}: {problem.reason}") from problem
     finally:
         copy.close()
     return target
@@ -154,18 +172,26 @@ def read_csv(spark: SparkSession, path: str, info: FormatInfo, short_rows: str =
 
 
 def read_framed(spark: SparkSession, path: str, info: FormatInfo) -> Loaded:
-    """A pipe-framed report: rulers dropped, cells trimmed, rows with another number of cells than the header set apart, widths kept."""
+    """A pipe-framed report: rulers dropped, cells trimmed, widths kept. Rows with another number of cells than the header and lines without a frame
+    below the header are set apart; the lines above the header are its title."""
+    title: list[str] = []
+    head = "||"
     with open(path, encoding=info.encoding, errors="replace") as f:
-        lines = io.StringIO(f.read(PROBE)).read().splitlines()
-    head = next((x.strip() for x in lines if x.strip().startswith("|") and not _RULER.match(x.strip())), "||")
+        for line in f:
+            bare = line.lstrip("\ufeff").strip()
+            if bare.startswith("|") and not _RULER.match(bare):
+                head = bare
+                break
+            title.append(bare)
     cells = head[1:-1].split("|")
     header = clean_header(cells)
     lines_of = spark.read.text(transcode(spark, path, info.encoding)).select(F.regexp_replace("value", "^﻿", "").alias("line"))
-    rows = lines_of.select(F.trim(F.regexp_replace("line", r"\r\z", "")).alias("line")).filter(F.startswith("line", F.lit("|")) & ~F.col("line").rlike(_RULER.pattern) & (F.col("line") != head))
+    rows = lines_of.select(F.trim(F.regexp_replace("line", r"\r\z", "")).alias("line")).filter((F.col("line") != "") & ~F.col("line").rlike(_RULER.pattern) & (F.col("line") != head) & ~F.col("line").isin(title))
+    framed = F.startswith("line", F.lit("|"))
     split = rows.select("line", F.split(F.expr("substring(line, 2, length(line) - 2)"), r"\|", -1).alias("cells"))
-    whole = (F.size("cells") == len(header)) & F.endswith("line", F.lit("|"))
+    whole = framed & (F.size("cells") == len(header)) & F.endswith("line", F.lit("|"))
     table = split.filter(whole).select(*(F.trim(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(header)))
-    return Loaded(table, header, split.filter(~whole).select(F.col("line").alias("raw"), F.lit("cell_count").alias("reason")), dict(zip(header, map(len, cells), strict=True)))
+    return Loaded(table, header, split.filter(~whole).select(F.col("line").alias("raw"), F.when(framed, "cell_count").otherwise("unframed").alias("reason")), dict(zip(header, map(len, cells), strict=True)))
 
 
 def read_parquet(spark: SparkSession, path: str) -> Loaded:
@@ -221,8 +247,8 @@ def write_staged(df: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def write_findings(df: DataFrame, path: str) -> None:
-    """One write for all rules, a folder for each rule."""
-    df.repartition("rule_id").sortWithinPartitions("rule_id", "object_key").write.mode("overwrite").partitionBy("rule_id").parquet(path)
+    """One write for all rules, a folder for each rule; cut by ranges of rule and key, so a rule with many findings is many files."""
+    df.repartitionByRange("rule_id", "object_key").sortWithinPartitions("rule_id", "object_key").write.mode("overwrite").partitionBy("rule_id").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:

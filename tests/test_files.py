@@ -23,6 +23,16 @@ def test_detection(tmp_path):
     assert len(files.file_hash(tmp_path / "b.csv")) == 64
 
 
+def test_late_bytes_decide_the_encoding(spark, tmp_path):
+    plain = b"K;T\n" + b"1;abc\n" * 300_000
+    path = put(tmp_path, "late.csv", plain + "2;\u00e4\n".encode("cp1252"))
+    assert files.detect_format(path).encoding == "cp1252" and files.load(spark, path).table.filter("T = '\u00e4'").count() == 1
+    assert files.detect_format(put(tmp_path, "late8.csv", plain + "2;\u00e4\n".encode())).encoding == "utf-8"
+    broken = put(tmp_path, "x.csv", "K;T\n1;a\n".encode("utf-16") + b"\x00\xd8\x41\x00")
+    with pytest.raises(ValueError, match="utf-16"):
+        files.load(spark, broken)
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1252"])
 def test_csv(spark, tmp_path, encoding):
     text = 'K;Text;Z\n1;"a;ä""q""";x\n2;"zwei\nZeilen";y\n3;short\n4;too;many;cells\n5;;\n'
@@ -34,9 +44,9 @@ def test_csv(spark, tmp_path, encoding):
 
 
 def test_framed(spark, tmp_path):
-    path = put(tmp_path, "r.txt", "Report\n--------\n|K  |Text |\n--------\n|1  |ä a  |\n|2  |x |y |\n|3  |     |\n--------\n".encode("utf-8"))
+    path = put(tmp_path, "r.txt", "Report\n--------\n|K  |Text |\n--------\n|1  |ä a  |\n|2  |x |y |\n|3  |     |\nlost line\n--------\n".encode("utf-8"))
     loaded = files.load(spark, path)
-    assert loaded.widths == {"K": 3, "Text": 5} and sorted(tuple(r) for r in loaded.table.collect()) == [("1", "ä a"), ("3", "")] and loaded.rejects.count() == 1
+    assert loaded.widths == {"K": 3, "Text": 5} and sorted(tuple(r) for r in loaded.table.collect()) == [("1", "ä a"), ("3", "")] and sorted(r.reason for r in loaded.rejects.collect()) == ["cell_count", "unframed"]
 
 
 def test_parquet_and_sinks(spark, tmp_path):
