@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stammwerk.functions import names as nm
 from stammwerk.functions.names import token_sort_ratio
 from stammwerk.session import Scratch
 
@@ -208,10 +211,71 @@ def clusters(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             return labels.select(F.col("a").alias("key"), F.col("label").alias("cluster"))
 
 
-def cluster_rows(pairs: DataFrame, members: DataFrame, key: str, shown: list[Column]) -> DataFrame:
-    """One row per cluster: cluster, size, score (highest), match_type (exact if any is), members as JSON in key order."""
-    placed = clusters(pairs)
+def cluster_rows(pairs: DataFrame, members: DataFrame, key: str, shown: list[str], most: int = 1000) -> DataFrame:
+    """One row per cluster: cluster, size, score (highest), match_type (exact if any is), members as JSON in key order.
+
+    A member's compared values (columns `shown`) are those of one of its rows, the smallest. The JSON text shows the first `most` members; size counts
+    all, and `clusters` names every one."""
+    scratch = Scratch(pairs.sparkSession, "clusters")
+    pairs = scratch.write(pairs)
+    placed = scratch.write(clusters(pairs, scratch))
     facts = pairs.join(placed.withColumnRenamed("key", "left"), "left").groupBy("cluster").agg(F.max("score").alias("score"), F.min("match_type").alias("match_type"))
-    rows = members.groupBy(F.col(key).alias("key")).agg(*(F.min(c).alias(f"c{i}") for i, c in enumerate(shown)))
-    full = placed.join(rows, "key", "left").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.to_json(F.array_sort(F.collect_list(F.struct("key", *(f"c{i}" for i in range(len(shown))))))).alias("members"))
-    return full.join(facts, "cluster").select("cluster", "size", "score", "match_type", "members")
+    rows = members.groupBy(F.col(f"`{key}`").alias("key")).agg(F.count(F.lit(1)).alias("_rows"), *(F.min(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(shown)))
+    size = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    first = placed.withColumn("_r", F.row_number().over(W.partitionBy("cluster").orderBy("key"))).filter(F.col("_r") <= most)
+    member = F.struct("key", *(F.col(f"c{i}").alias(c) for i, c in enumerate(shown)))
+    listed = first.join(rows, "key", "left").groupBy("cluster").agg(F.to_json(F.array_sort(F.collect_list(member)), {"ignoreNullFields": "false"}).alias("members"))
+    return size.join(facts, "cluster").join(listed, "cluster").select("cluster", "size", "score", "match_type", "members")
+
+
+@dataclass(frozen=True)
+class Finder:
+    """What makes two records of a source duplicates."""
+
+    key_columns: tuple[str, ...]
+    exact_keys: tuple[str, ...] = ()
+    name_column: str | None = None
+    street_column: str | None = None
+    postcode_column: str | None = None
+    city_column: str | None = None
+    country_column: str | None = None
+    strategies: tuple[str, ...] = ("country_postcode", "name_sorted", "name_prefix", "country_city", "postcode")
+    fuzzy: bool = False
+    threshold: int = 88
+    combined: int = 85
+
+
+#: The columns that a blocking strategy needs; one without them is dropped.
+NEEDS = {"country_postcode": ("postcode_column",), "postcode": ("postcode_column",), "name_prefix": ("name_column",), "name_sorted": ("name_column",), "country_city": ("city_column",)}
+
+
+def candidates(df: DataFrame, finder: Finder) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows, hard keys, strategies): the key, the normalised hard keys, name, address and block keys of every record with a key."""
+    have = lambda c: F.col(f"`{c}`") if c and c in df.columns else F.lit(None).cast("string")
+    key = F.concat_ws("/", *(F.col(f"`{c}`").cast("string") for c in finder.key_columns))
+    hard = [c for c in finder.exact_keys if c in df.columns]
+    used = [s for s in finder.strategies if finder.fuzzy and all(getattr(finder, need) in df.columns for need in (*NEEDS[s], "name_column"))]
+    name, street, post, city, land = (have(getattr(finder, f"{p}_column")) for p in ("name", "street", "postcode", "city", "country"))
+    blocked = nm.block_keys(name, land, post, city)
+    rows = df.select(key.alias("_key"), *(nm.norm_key(F.col(f"`{c}`").cast("string")).alias(f"_hard_{c}") for c in hard), nm.norm_name(name).alias("_name"), nm.norm_address(street, post, city, land).alias("_address"), *(blocked[s].alias(f"_block_{s}") for s in used))
+    return rows.filter("_key <> ''"), hard, used
+
+
+def find_pairs(df: DataFrame, finder: Finder) -> DataFrame:
+    """(left, right, score, reason, match_type) of a source: exact pairs on every hard key, and fuzzy ones inside all of its blocks."""
+    rows, hard, used = candidates(df, finder)
+    rows = Scratch(df.sparkSession, "candidates").write(rows)
+    none = rows.limit(0).select(F.col("_key").alias("left"), F.col("_key").alias("right"), F.lit(0).alias("score"), F.lit("").alias("reason"), F.lit("").alias("match_type"))
+    parts = [none]
+    if hard:
+        parts.append(exact_pairs(rows, "_key", [f"_hard_{c}" for c in hard]).withColumn("reason", F.regexp_replace("reason", "_hard_", "")))
+    if used:
+        parts.append(fuzzy_pairs(rows, "_key", "_name", "_address", [f"_block_{s}" for s in used], finder.threshold, finder.combined))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def duplicate_clusters(df: DataFrame, finder: Finder) -> DataFrame:
+    """One row per cluster of a source, with the compared columns of its members as delivered."""
+    key = F.concat_ws("/", *(F.col(f"`{c}`").cast("string") for c in finder.key_columns))
+    compared = [c for c in (finder.name_column, finder.street_column, finder.postcode_column, finder.city_column, finder.country_column, *finder.exact_keys) if c and c in df.columns]
+    return cluster_rows(find_pairs(df, finder), df.withColumn("_key", key), "_key", list(dict.fromkeys(compared)))

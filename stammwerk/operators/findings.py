@@ -75,8 +75,9 @@ def with_exceptions(findings: DataFrame, exceptions: DataFrame, as_of: str) -> D
 
 
 def with_status(findings: DataFrame, status: DataFrame) -> DataFrame:
-    """status: finding_id, status, note; open where none is set."""
-    return findings.join(status.select("finding_id", F.col("status").alias("_s"), F.col("note").alias("status_note")), "finding_id", "left").withColumn("status", F.coalesce("_s", F.lit("open"))).drop("_s")
+    """status: finding_id, status, note; open where none is set, of several entries the greatest counts."""
+    one = status.groupBy("finding_id").agg(F.max(F.struct(parse_state(F.col("status")).alias("s"), "note")).alias("_s"))
+    return findings.join(one, "finding_id", "left").withColumn("status", F.coalesce("_s.s", F.lit("open"))).withColumn("status_note", F.col("_s.note")).drop("_s")
 
 
 def with_owner(findings: DataFrame, owners: DataFrame, default: str) -> DataFrame:
@@ -102,6 +103,39 @@ def delta_by_rule(now: DataFrame, before: DataFrame) -> DataFrame:
     return both.groupBy("rule_id").agg(F.count("b").alias("n_before"), F.count("a").alias("n_now"), F.count_if(F.col("b").isNull()).alias("n_new"), F.count_if(F.col("a").isNull()).alias("n_resolved"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_unchanged"))
 
 
+def compare_runs(now: DataFrame, before: DataFrame) -> DataFrame:
+    """delta_by_rule without excepted findings, plus n_newly_excepted, only_now, only_before and version_changed.
+
+    A finding that is gone because it was excepted is no success: it is counted apart, and still as resolved. Both have a column `whitelisted`; null counts as not
+    excepted. Of several versions of a rule in one run the greatest counts."""
+    live = lambda df: df.filter(~F.coalesce("whitelisted", F.lit(False)))
+    delta = delta_by_rule(live(now), live(before))
+    version = lambda df, name: live(df).groupBy("rule_id").agg(F.max("rule_version").alias(name), F.lit(True).alias(f"_{name}"))
+    excepted = live(before).select("rule_id", "finding_id").distinct().join(now.filter("whitelisted").select("finding_id").distinct(), "finding_id", "left_semi").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_newly_excepted"))
+    full = delta.join(version(now, "vn"), "rule_id", "left").join(version(before, "vb"), "rule_id", "left").join(excepted, "rule_id", "left")
+    both = F.col("_vn").isNotNull() & F.col("_vb").isNotNull()
+    return full.select(
+        *delta.columns, F.coalesce("n_newly_excepted", F.lit(0)).alias("n_newly_excepted"), F.col("_vb").isNull().alias("only_now"), F.col("_vn").isNull().alias("only_before"),
+        (both & (F.coalesce("vn", F.lit("")) != F.coalesce("vb", F.lit("")))).alias("version_changed"),
+    )
+
+
+def processes_of(rules: DataFrame, links: DataFrame) -> DataFrame:
+    """(process, rule_id) of rules (rule_id, category, object_area): a link (kind: rule, category or area; name; process) takes in every rule it names."""
+    names = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in (("area", "object_area"), ("category", "category"), ("rule", "rule_id"))))
+    return rules.select("rule_id", F.inline(names)).join(links, ["kind", "name"]).select("process", "rule_id").distinct()
+
+
+#: The states of a finding, and those that close it.
+STATES, CLOSED = ["open", "in_progress", "accepted", "corrected"], ["accepted", "corrected"]
+
+
+def parse_state(text: Column) -> Column:
+    """A state however it was typed: case, blanks, hyphens and underscores do not matter; what is no state counts as open."""
+    plain = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "[ _-]+", "_")
+    return F.when(plain.isin(STATES), plain).otherwise("open")
+
+
 def search(findings: DataFrame, text: str | None = None, columns: tuple[str, ...] = ("object_key", "rule_name", "detail"), **allowed: list[str]) -> DataFrame:
     for column, values in allowed.items():
         findings = findings.filter(F.col(column).isin(values))

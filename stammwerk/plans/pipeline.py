@@ -140,12 +140,10 @@ def execute(spark: SparkSession, project: Project, registry: Registry, force: bo
         chosen = [c.select(project.rules.enabled, project.rules.disabled, project.rules.categories_off, project.rules.severity, project.rules.params, project.rules.external) for c in catalogs]
         rules = [r for c in chosen for r in c.rules]
         delivered = {n: set(df.columns) for n, df in ingested.tables.items()}
-        result |= {"catalog": [c.digest for c in chosen], "problems": [p for c in chosen for p in c.problems], "coverage": rl.coverage(rules, delivered), "demand": rl.demand(rules, delivered)}
-        outcome = rl.run(spark, rules, ingested.tables)
-        files.write_findings(outcome.findings, str(target / "raw"))
-        raw = spark.read.schema(rl.FINDING_SCHEMA).parquet(str(target / "raw")) if outcome.findings.take(1) else outcome.findings
-        full = enrich(spark, raw, project)
-        full.write.mode("overwrite").parquet(str(target / "findings"))
+        result |= {"catalog": [c.digest for c in chosen], "problems": [p for c in chosen for p in c.problems], "coverage": rl.coverage(rules, delivered), "demand": rl.demand(rules, delivered), "qualification": rl.qualify(rules, delivered)}
+        outcome = rl.run(spark, rules, ingested.tables, str(target / "raw"))
+        full = enrich(spark, outcome.findings, project)
+        files.write_findings(full, str(target / "findings"))
         full = spark.read.parquet(str(target / "findings"))
         effective = full.filter("NOT whitelisted")
         leading = {r.object_area: next(iter(r.requires)) for r in rules if set(r.requires) & set(ingested.tables)}

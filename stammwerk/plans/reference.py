@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stammwerk.functions import convert, masking, names, validators
-from stammwerk.operators import delivery, duplicates, findings, record_parse
+from stammwerk.operators import delivery, duplicates, einvoice, findings, record_parse
 from stammwerk.operators.skew import hot_keys, salted_join
 from stammwerk.sources.tables import table
 
@@ -116,10 +116,10 @@ def conv_all(spark, root):
     return text.select("s_suppkey", convert.conv_alpha(F.col("a"), 10).alias("alpha"), convert.conv_date(F.col("d")).alias("day"), F.round(convert.conv_amount(F.col("m"), True), 2).alias("amount"))
 
 
-@query("SELECT load_id, count(*)::BIGINT AS n FROM mara WHERE trim(coalesce(ean11, '')) <> '' AND NOT (regexp_matches(ean11, '^([0-9]{8}|[0-9]{12,14})$') AND list_sum([substr(ean11, i::INT, 1)::INT * CASE WHEN (length(ean11) - i) % 2 = 1 THEN 3 ELSE 1 END for i in generate_series(1, length(ean11)) if regexp_matches(ean11, '^[0-9]+$')]) % 10 = 0) AND NOT regexp_matches(ean11, '[ -]') GROUP BY load_id")
+@query("SELECT load_id, count(*)::BIGINT AS n FROM (SELECT load_id, upper(regexp_replace(ean11, '[\\s-]', '', 'g')) AS c FROM mara WHERE trim(coalesce(ean11, '')) <> '') WHERE NOT (regexp_matches(c, '^([0-9]{8}|[0-9]{12,14})$') AND list_sum([substr(c, i::INT, 1)::INT * CASE WHEN (length(c) - i) % 2 = 1 THEN 3 ELSE 1 END for i in generate_series(1, length(c)) if regexp_matches(c, '^[0-9]+$')]) % 10 = 0) GROUP BY load_id")
 def val_gtin(spark, root):
     validators.register(spark)
-    return table(spark, root, "mara").filter("trim(coalesce(ean11, '')) <> ''").filter(~validators.call("gtin_valid", F.col("ean11")) & ~F.col("ean11").rlike("[ -]")).groupBy("load_id").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, root, "mara").filter("trim(coalesce(ean11, '')) <> ''").filter(~validators.call("gtin_valid", F.col("ean11"))).groupBy("load_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _IBAN = "('DE' || lpad((98 - (((c_custkey * 7919 % 100000000)::HUGEINT * 10000000000 + c_custkey) * 1000000 + 131400) % 97)::VARCHAR, 2, '0') || lpad((c_custkey * 7919 % 100000000)::VARCHAR, 8, '0') || lpad(c_custkey::VARCHAR, 10, '0'))"
@@ -143,16 +143,18 @@ def val_postcode(spark, root):
     return table(spark, root, "candidates").select("schluessel", validators.call("postal_code_reason", F.col("land"), F.col("plz")).alias("reason")).filter("reason <> ''")
 
 
-@query("SELECT row_id FROM (SELECT row_id, regexp_replace(upper(maktx), '[^A-Z0-9]', '', 'g') AS c FROM makt WHERE maktx IS NOT NULL) WHERE c = '' OR c IN ('DUMMY', 'KA', 'KEINEANGABE', 'NA', 'NOCHOFFEN', 'NONE', 'NULL', 'OFFEN', 'PLATZHALTER', 'TBD', 'TEST', 'UNBEKANNT', 'UNKNOWN', 'WIRDNACHGEREICHT') OR (length(c) > 1 AND replace(c, left(c, 1), '') = '')")
+@query("SELECT row_id FROM (SELECT row_id, regexp_replace(upper(maktx), '[^A-Z0-9]', '', 'g') AS c FROM makt WHERE maktx IS NOT NULL) WHERE c = '' OR c IN (" + ", ".join(f"'{w}'" for w in validators.PLACEHOLDERS) + ") OR (length(c) > 1 AND replace(c, left(c, 1), '') = '')")
 def val_placeholder(spark, root):
     validators.register(spark)
     return table(spark, root, "makt").filter(validators.call("is_placeholder_text", F.col("maktx"))).select("row_id")
 
 
-@query("SELECT schluessel, CASE WHEN p = c THEN '' ELSE 'check digit' END AS reason FROM (SELECT schluessel, c, (11 - list_reduce([10, a1, a2, a3, a4, a5, a6, a7, a8], lambda p, d: CAST(2 * (CASE WHEN (d + p) % 10 = 0 THEN 10 ELSE (d + p) % 10 END) % 11 AS INT))) % 10 AS p FROM (SELECT schluessel, substr(ustid, 11, 1)::INT AS c, substr(ustid, 3, 1)::INT AS a1, substr(ustid, 4, 1)::INT AS a2, substr(ustid, 5, 1)::INT AS a3, substr(ustid, 6, 1)::INT AS a4, substr(ustid, 7, 1)::INT AS a5, substr(ustid, 8, 1)::INT AS a6, substr(ustid, 9, 1)::INT AS a7, substr(ustid, 10, 1)::INT AS a8 FROM candidates WHERE regexp_matches(ustid, '^DE[0-9]{9}$')))")
+@query(r"SELECT schluessel, CASE WHEN c = '' THEN 'missing' WHEN NOT regexp_matches(c, '^DE[0-9]{9}$') THEN CASE WHEN starts_with(c, 'DE') THEN 'structure' ELSE 'not German' END WHEN (11 - list_reduce([10] || [TRY_CAST(substr(c, i::INT, 1) AS INT) for i in generate_series(3, 10)], lambda p, d: CAST(2 * (CASE WHEN (d + p) % 10 = 0 THEN 10 ELSE (d + p) % 10 END) % 11 AS INT))) % 10 = TRY_CAST(substr(c, 11, 1) AS INT) THEN '' ELSE 'check digit' END AS reason FROM (SELECT schluessel, upper(regexp_replace(coalesce(ustid, ''), '[\s-]', '', 'g')) AS c FROM candidates)")
 def val_vat(spark, root):
+    """All numbers; those of other countries are only told apart, as SQL would need every country's rule."""
     validators.register(spark)
-    return table(spark, root, "candidates").filter(F.col("ustid").rlike(r"^DE[0-9]{9}\z")).select("schluessel", validators.call("vat_id_reason", F.col("land"), F.col("ustid")).alias("reason"))
+    german = F.startswith(validators.call("compact", F.col("ustid")), F.lit("DE")) | (validators.call("compact", F.col("ustid")) == "")
+    return table(spark, root, "candidates").select("schluessel", F.when(german, validators.call("vat_id_reason", F.col("land"), F.col("ustid"))).otherwise("not German").alias("reason"))
 
 
 # ---- delivery checks ----
@@ -184,9 +186,29 @@ def dv_files(spark, root):
     return delivery.same_content(table(spark, root, "source_file"))
 
 
-@query("SELECT file_id, coalesce(raw_row_count, 0) AS n_rows, coalesce(rejected_rows, 0) AS n_rejected, 'blocking' AS state FROM source_file WHERE coalesce(rejected_rows, 0) > 0.05 * coalesce(raw_row_count, 0)")
+_LIMITS = "(" + ", ".join(map(str, delivery.EXPORT_LIMITS)) + ")"
+
+
+@query(f"SELECT file_id, coalesce(raw_row_count, 0) AS n_rows, coalesce(rejected_rows, 0) AS n_rejected, CASE WHEN coalesce(rejected_rows, 0) > 0.05 * coalesce(raw_row_count, 0) THEN 'blocking' ELSE 'export limit' END AS state FROM source_file WHERE coalesce(rejected_rows, 0) > 0.05 * coalesce(raw_row_count, 0) OR raw_row_count IN {_LIMITS}")
 def dv_parse(spark, root):
-    return delivery.reject_ratio(table(spark, root, "source_file")).filter("state = 'blocking'")
+    return delivery.reject_ratio(table(spark, root, "source_file"))
+
+
+@query(f"SELECT file_id, n_rows, 0::BIGINT AS n_rejected, 'export limit' AS state FROM (SELECT o_custkey AS file_id, 499 + count(*)::BIGINT AS n_rows FROM orders GROUP BY 1) WHERE n_rows IN {_LIMITS}")
+def dv_export_limit(spark, root):
+    """Counts around the smallest known limit."""
+    files = table(spark, root, "orders").groupBy(F.col("o_custkey").alias("file_id")).agg((F.count(F.lit(1)) + 499).alias("raw_row_count")).withColumn("rejected_rows", F.lit(0).cast("bigint"))
+    return delivery.reject_ratio(files)
+
+
+@query("SELECT table_name, unnest(list_filter([CASE WHEN dated < n THEN 'undocumented' END, CASE WHEN dates > 1 THEN 'differing' END], lambda x: x IS NOT NULL)) AS state, n AS n_files, first_date, last_date FROM (SELECT upper(trim(table_name)) AS table_name, count(*)::BIGINT AS n, count(extraction_date) AS dated, count(DISTINCT extraction_date) AS dates, min(extraction_date) AS first_date, max(extraction_date) AS last_date FROM source_file GROUP BY 1)")
+def dv_dates(spark, root):
+    return delivery.cut_off_dates(table(spark, root, "source_file").withColumn("table_name", F.upper(F.trim("table_name"))))
+
+
+@query("SELECT system_id, table_name, problem, problem <> 'unknown columns' AND lower(tier) = 'must' AS blocking, fields FROM (SELECT system_id, table_name, tier, 'missing key' AS problem, list_sort(missing_key_fields) AS fields FROM ingested_table WHERE len(missing_key_fields) > 0 UNION ALL SELECT system_id, table_name, tier, 'empty', [] FROM ingested_table WHERE coalesce(row_count_before_filter, row_count) = 0 UNION ALL SELECT system_id, table_name, tier, 'empty after filter', [] FROM ingested_table WHERE row_count = 0 AND row_count_before_filter > 0 UNION ALL SELECT system_id, table_name, tier, 'unknown columns', list_sort(list_distinct([c for c in columns_seen if NOT list_contains(coalesce(known_fields, []), c)])) FROM ingested_table WHERE len([c for c in columns_seen if NOT list_contains(coalesce(known_fields, []), c)]) > 0)")
+def dv_usability(spark, root):
+    return delivery.usability(table(spark, root, "ingested_table"))
 
 
 @query("WITH s AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 0 WHEN o_totalprice < 1000 THEN 1 WHEN o_orderpriority = '5-LOW' THEN 2 ELSE 3 END AS position FROM orders) SELECT position, CASE position WHEN 0 THEN 'cancelled' WHEN 1 THEN 'small' WHEN 2 THEN 'low' ELSE 'remaining' END AS stage, count(*)::BIGINT AS n FROM s GROUP BY ALL")
@@ -200,6 +222,83 @@ def cov_unknown(spark, root):
     return seen.filter(F.size("unknown") > 0)
 
 
+# ---- electronic invoices ----
+
+
+def _billing(spark, root):
+    rows = table(spark, root, "orders")
+    return einvoice.billing_documents(
+        rows, client=F.lit("100"), company=F.concat(F.lit("C"), (F.col("o_custkey") % 5).cast("string")), document=F.col("o_orderkey"), customer=F.col("o_custkey"), day=F.col("o_orderdate"),
+        amount=F.round(F.col("o_totalprice"), 2), cancelled=F.col("o_orderstatus") == "P", credit=F.col("o_orderpriority") == "1-URGENT", code=F.substring("o_orderpriority", 1, 1),
+    )
+
+
+_BILLING = "b AS (SELECT '100' AS client, 'C' || (o_custkey % 5) AS company, o_orderkey::VARCHAR AS document, o_custkey::VARCHAR AS customer, o_orderdate::DATE AS day, round(o_totalprice, 2)::DECIMAL(18,2) AS amount, o_orderstatus = 'P' AS cancelled, o_orderpriority = '1-URGENT' AS credit, substr(o_orderpriority, 1, 1) AS code FROM orders), s AS (SELECT *, CASE WHEN cancelled THEN 'cancelled' WHEN credit THEN 'credit' WHEN abs(amount) <= 5000 THEN 'small' WHEN code = '5' THEN 'exempt' END AS stage, NOT (cancelled OR abs(amount) <= 5000 OR code = '5') AS duty FROM b)"
+
+
+def _staged(spark, root):
+    return einvoice.staged(_billing(spark, root), einvoice.standard_stages(5000.0, F.col("code") == "5"))
+
+
+@query(f"WITH {_BILLING} SELECT client, company, document, customer, day, amount::DOUBLE AS amount, cancelled, credit, code FROM b")
+def ei_docs_sd(spark, root):
+    return _billing(spark, root).drop("source").withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("SELECT l_orderkey::VARCHAR AS document, l_suppkey::VARCHAR AS customer, min(l_shipdate)::DATE AS day, sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * round(l_extendedprice, 2)::DECIMAL(18,2))::DOUBLE AS amount, bool_or(l_linestatus = 'F' AND l_quantity > 45) AS cancelled, sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * round(l_extendedprice, 2)::DECIMAL(18,2)) < 0 AS credit FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY 1, 2")
+def ei_docs_fi(spark, root):
+    """Lines as accounting lines: debits less credits per document and customer, without those that come from billing."""
+    c = {"document": F.col("l_orderkey"), "customer": F.col("l_suppkey"), "day": F.col("l_shipdate"), "amount": F.round(F.col("l_extendedprice"), 2), "debit": F.col("l_returnflag") != "R", "cancelled": (F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45)}
+    made = einvoice.accounting_documents(table(spark, root, "lineitem"), F.col("l_linenumber") % 3 == 0, **c)
+    return made.select("document", "customer", "day", F.col("amount").cast("double").alias("amount"), "cancelled", "credit")
+
+
+@query(f"WITH {_BILLING} SELECT coalesce(stage, 'remaining') AS stage, count(*)::BIGINT AS n, sum(amount)::DOUBLE AS amount, count(*) FILTER (WHERE duty)::BIGINT AS n_duty FROM s GROUP BY 1")
+def ei_exclude(spark, root):
+    """Exclusions one after another; credits leave the duty as it is."""
+    return einvoice.excluded(_staged(spark, root)).withColumn("amount", F.col("amount").cast("double"))
+
+
+@query("SELECT o_orderpriority AS code, CASE WHEN lower(trim(substr(o_clerk_said, 1, 3))) IN ('yes') THEN true WHEN lower(trim(substr(o_clerk_said, 1, 3))) IN ('no') THEN false ELSE category IN ('E', 'O') END AS exempt, lower(trim(o_clerk_said)) NOT IN ('yes', 'no') AS approximate FROM (SELECT DISTINCT o_orderpriority, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Yes' WHEN '2' THEN ' no ' ELSE '' END AS o_clerk_said, CASE substr(o_orderpriority, 1, 1) WHEN '5' THEN 'E' WHEN '4' THEN 'O' ELSE 'S' END AS category FROM orders)")
+def ei_exempt(spark, root):
+    first = F.substring("o_orderpriority", 1, 1)
+    codes = table(spark, root, "orders").select(F.col("o_orderpriority").alias("code"), F.when(first == "1", "Yes").when(first == "2", " no ").otherwise("").alias("exempt"), F.when(first == "5", "E").when(first == "4", "O").otherwise("S").alias("category")).distinct()
+    return einvoice.exempt_codes(codes)
+
+
+@query(f"WITH {_BILLING} SELECT client, customer, count(*)::BIGINT AS documents, sum(amount)::DOUBLE AS volume FROM s WHERE stage IS NULL GROUP BY ALL")
+def ei_aggregate(spark, root):
+    return einvoice.volumes(_staged(spark, root)).withColumn("volume", F.col("volume").cast("double"))
+
+
+_YEARLY = "p AS (SELECT min(day) AS a, max(day) AS z FROM b), m AS (SELECT CASE WHEN date_diff('day', a, z) + 1 < 28 THEN round((date_diff('day', a, z) + 1) / 30.44, 2) ELSE (date_diff('month', a, z) + 1)::DOUBLE END AS months FROM p), y AS (SELECT company, count(*)::BIGINT AS documents, any_value(months) AS months, sum(amount)::DOUBLE AS volume, round(sum(amount)::DOUBLE * any_value(CASE WHEN months < 1 OR months >= 12 THEN 1.0 ELSE round(12 / months, 3) END), 2) AS revenue FROM b, m WHERE NOT cancelled GROUP BY company)"
+
+
+@query(f"WITH {_BILLING}, {_YEARLY} SELECT * FROM y")
+def ei_months(spark, root):
+    """Revenue per company over the calendar months of all documents, scaled to a year only where the period is shorter."""
+    return einvoice.yearly_revenue(_billing(spark, root)).withColumn("volume", F.col("volume").cast("double"))
+
+
+@query(f"WITH {_BILLING}, {_YEARLY}, k AS (SELECT 'C' || i AS company FROM range(7) t(i)), r AS (SELECT company, CASE WHEN company = 'C1' THEN 5.0 ELSE revenue END AS revenue, CASE WHEN company = 'C1' THEN 'configuration' WHEN revenue IS NOT NULL THEN 'documents' END AS origin FROM k LEFT JOIN y USING (company)) SELECT company, revenue, CASE WHEN revenue > 800000 THEN DATE '2027-01-01' WHEN revenue IS NOT NULL THEN DATE '2028-01-01' END AS due, origin FROM r")
+def ei_deadline(spark, root):
+    companies = spark.range(7).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("company"))
+    return einvoice.deadlines(companies, einvoice.yearly_revenue(_billing(spark, root)), spark.createDataFrame([("c1", 5.0)], "company string, revenue double"))
+
+
+@query("WITH r AS (SELECT rule_id, any_value(object_area) AS grp, any_value(severity) AS severity, count(*)::BIGINT AS n, count(DISTINCT object_key)::BIGINT AS hit FROM findings WHERE run_id = 8 GROUP BY 1), q AS (SELECT *, hit % 7 <> 0 AS checkable, round(hit / 2000, 4) AS quota FROM r) SELECT grp AS \"group\", CASE WHEN NOT bool_or(checkable) THEN 'grey' WHEN bool_or(checkable AND severity = 'critical' AND quota > 0.05) THEN 'red' WHEN bool_or(checkable) THEN 'yellow' ELSE 'green' END AS light, count(*)::BIGINT AS n_rules, sum(n)::BIGINT AS n_findings FROM q GROUP BY 1")
+def ei_light(spark, root):
+    rows = table(spark, root, "findings").filter("run_id = 8").groupBy("rule_id").agg(F.any_value("object_area").alias("group"), F.any_value("severity").alias("severity"), F.count(F.lit(1)).alias("n_findings"), F.count_distinct("object_key").alias("n_hit"))
+    return einvoice.lights(rows.withColumn("checkable", F.col("n_hit") % 7 != 0).withColumn("n_base", F.lit(2000)).withColumn("volume_share", F.lit(None).cast("double")))
+
+
+@query(f"WITH {_BILLING}, v AS (SELECT client, customer, count(*)::BIGINT AS documents, sum(amount) AS volume FROM s WHERE stage IS NULL GROUP BY ALL), h AS (SELECT DISTINCT CASE WHEN c_acctbal < 0 THEN 'R1' ELSE 'R2' END AS rule_id, c_custkey::VARCHAR AS k FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING') SELECT rule_id, count(*)::BIGINT AS customers, sum(documents)::BIGINT AS documents, sum(volume)::DOUBLE AS volume FROM h JOIN v ON customer = k GROUP BY 1")
+def ei_hits(spark, root):
+    """Volume of the customers that the findings of a rule name, by the first part of the key without its zeros."""
+    found = table(spark, root, "customer").filter("c_acctbal < 0 OR c_mktsegment = 'BUILDING'").select(F.when(F.col("c_acctbal") < 0, "R1").otherwise("R2").alias("rule_id"), F.when(F.col("c_custkey") % 2 == 0, "100").alias("mandt"), F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), F.lit("/x")).alias("object_key"))
+    return einvoice.hit_volumes(found, einvoice.volumes(_staged(spark, root))).withColumn("volume", F.col("volume").cast("double"))
+
+
 # ---- findings ----
 
 _RUNS = "WITH now AS (SELECT DISTINCT rule_id, finding_id FROM findings WHERE run_id = 8), old AS (SELECT DISTINCT rule_id, finding_id FROM findings WHERE run_id = 7) "
@@ -252,9 +351,54 @@ def ei_effect(spark, root):
     return rows.groupBy("rule_id").agg(F.sum(F.get_json_object("detail", "$.wert").try_cast("decimal(18,2)")).cast("double").alias("effect"), F.count(F.lit(1)).alias("n"))
 
 
+_EXCEPTED = "coalesce(rule_id = 'QX-MAT-118' AND run_id = 8, false)"
+
+
+@query(f"WITH a AS (SELECT *, {_EXCEPTED} AS w FROM findings WHERE run_id IN (7, 8)), now AS (SELECT DISTINCT rule_id, finding_id FROM a WHERE run_id = 8 AND NOT w), old AS (SELECT DISTINCT rule_id, finding_id FROM a WHERE run_id = 7 AND NOT w), v AS (SELECT rule_id, max(CASE WHEN run_id = 8 THEN rule_version END) AS vn, max(CASE WHEN run_id = 7 THEN rule_version END) AS vb, count(*) FILTER (WHERE run_id = 8) AS cn, count(*) FILTER (WHERE run_id = 7) AS cb FROM a WHERE NOT w GROUP BY 1), x AS (SELECT rule_id, count(*)::BIGINT AS n FROM old WHERE finding_id IN (SELECT finding_id FROM a WHERE w) GROUP BY 1), d AS (SELECT coalesce(now.rule_id, old.rule_id) AS rule_id, count(old.finding_id)::BIGINT AS n_before, count(now.finding_id)::BIGINT AS n_now, count(*) FILTER (WHERE old.finding_id IS NULL)::BIGINT AS n_new, count(*) FILTER (WHERE now.finding_id IS NULL)::BIGINT AS n_resolved, count(*) FILTER (WHERE now.finding_id IS NOT NULL AND old.finding_id IS NOT NULL)::BIGINT AS n_unchanged FROM now FULL JOIN old ON now.rule_id = old.rule_id AND now.finding_id = old.finding_id GROUP BY 1) SELECT d.*, coalesce(x.n, 0) AS n_newly_excepted, cb = 0 AS only_now, cn = 0 AS only_before, cn > 0 AND cb > 0 AND coalesce(vn, '') <> coalesce(vb, '') AS version_changed FROM d JOIN v USING (rule_id) LEFT JOIN x USING (rule_id)")
+def fnd_compare(spark, root):
+    """Two runs in full, with exceptions granted in the later one."""
+    rows = table(spark, root, "findings").withColumn("whitelisted", F.coalesce((F.col("rule_id") == "QX-MAT-118") & (F.col("run_id") == 8), F.lit(False)))
+    return findings.compare_runs(rows.filter("run_id = 8"), rows.filter("run_id = 7"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 40")
+def join_residual(spark, root):
+    """A true left outer join with a condition beyond equality; customers without a match stay."""
+    c, o = table(spark, root, "customer"), table(spark, root, "orders")
+    return c.join(o, (o.o_custkey == c.c_custkey) & (o.o_totalprice > c.c_acctbal * 40), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, bool_or(o_orderstatus = 'P') AS any_open, bool_and(o_totalprice > 1000) AS all_large, any_value(o_custkey) AS custkey FROM orders GROUP BY 1")
+def agg_bool(spark, root):
+    return table(spark, root, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderstatus") == "P").alias("any_open"), F.bool_and(F.col("o_totalprice") > 1000).alias("all_large"), F.any_value("o_custkey").alias("custkey"))
+
+
 # ---- duplicates ----
 
 
+_SAME = """WITH RECURSIVE h AS (SELECT schluessel AS k, 'v' || regexp_replace(upper(ustid), '[^A-Z0-9]', '', 'g') AS v FROM candidates WHERE regexp_replace(upper(ustid), '[^A-Z0-9]', '', 'g') <> '' UNION SELECT schluessel, 's' || s FROM (SELECT schluessel, regexp_replace(strip_accents(replace(replace(replace(replace(upper(stras), 'Ä', 'AE'), 'Ö', 'OE'), 'Ü', 'UE'), 'ẞ', 'SS')), '[^A-Z0-9]', '', 'g') AS s FROM candidates WHERE plz LIKE '1%') WHERE s <> ''),
+  f AS (SELECT v, min(k) AS l FROM h GROUP BY v HAVING count(*) > 1), e AS (SELECT DISTINCT k AS a, l AS b FROM h JOIN f USING (v) WHERE k <> l), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  r(k, l) AS (SELECT a, a FROM b UNION SELECT b.b, r.l FROM r JOIN b ON b.a = r.k), c AS (SELECT k, min(l) AS cluster FROM r GROUP BY k)
+"""
+
+
+@query(_SAME + "SELECT md5(concat_ws(chr(31), 'CUS-DUP-901', '1.0.0', cluster)) AS finding_id, cluster AS object_key, count(*)::BIGINT AS size FROM c GROUP BY cluster")
+def dup_findings(spark, root):
+    """One finding per cluster over two hard keys: the VAT id, and the street in one postcode region, so clusters chain."""
+    rows = table(spark, root, "candidates").select("schluessel", "ustid", F.when(F.col("plz").like("1%"), F.col("stras")).alias("site"))
+    found = duplicates.duplicate_clusters(rows, duplicates.Finder(("schluessel",), ("ustid", "site")))
+    facts = _FACTS | {"rule_id": "CUS-DUP-901", "category": "duplicate"}
+    made = findings.as_findings(found, facts, ["cluster"])
+    return made.select("finding_id", "object_key", F.get_json_object("detail", "$.size").cast("bigint").alias("size"))
+
+
+@query()
+def dup_rule(spark, root):
+    """The finder as a rule runs it: exact on the VAT id, fuzzy in all five kinds of blocks, one row per cluster; tested against brute force."""
+    finder = duplicates.Finder(("schluessel",), ("ustid",), "name", "stras", "plz", "ort", "land", fuzzy=True)
+    return duplicates.duplicate_clusters(table(spark, root, "candidates"), finder).select("cluster", "size", "score", "match_type")
+
+
 @query("SELECT 'postcode' AS strategy, regexp_replace(upper(plz), '[^A-Z0-9]', '', 'g') AS block, count(*)::BIGINT AS n FROM candidates WHERE plz <> '' GROUP BY 2 HAVING count(*) > 1")
 def dup_blocks(spark, root):
     rows = table(spark, root, "candidates").withColumn("postcode", names.norm_key(F.col("plz")))
@@ -290,7 +434,13 @@ def pv_redact(spark, root):
     return table(spark, root, "documents").select("doc_id", masking.redact(F.col("text")).alias("text"))
 
 
-@query("SELECT schluessel, 'Company ' || upper(substr(sha256('pepper' || trim(name)), 1, 8)) AS name, sha256('pepper' || ustid) AS vat_digest FROM candidates")
+def _hmac(value: str, key: bytes = b"pepper") -> str:
+    """The SQL of an HMAC-SHA256 under a short key."""
+    inner, outer = ("".join(f"{k ^ pad:02x}" for k in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({value}))))"
+
+
+@query(f"SELECT schluessel, CASE WHEN trim(name) = '' THEN name ELSE 'Company ' || upper(substr({_hmac('trim(name)')}, 1, 8)) END AS name, {_hmac('ustid')} AS vat_digest FROM candidates")
 def pv_mask(spark, root):
     return table(spark, root, "candidates").select("schluessel", masking.mask(F.col("name"), "company", "pepper").alias("name"), masking.digest(F.col("ustid"), "pepper").alias("vat_digest"))
 
@@ -369,8 +519,8 @@ def prc_map(spark, root):
     """Rules belong to processes by area, category or id; each way is an equi join on its own."""
     rows = table(spark, root, "findings").filter("run_id = 8")
     links = spark.createDataFrame([("area", "vendor", "buying"), ("area", "customer", "selling"), ("category", "duplicate", "cleansing"), ("rule", "QX-MAT-118", "planning")], "kind string, name string, process string")
-    named = rows.select(F.inline(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in (("area", "object_area"), ("category", "category"), ("rule", "rule_id"))))))
-    return named.join(links, ["kind", "name"]).groupBy("process").agg(F.count(F.lit(1)).alias("n"))
+    named = findings.processes_of(rows.select("rule_id", "category", "object_area").distinct(), links)
+    return rows.join(named, "rule_id").groupBy("process").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH d AS (SELECT n_name, o_totalprice::DECIMAL(18,2) AS v, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey), a AS (SELECT n_name, sum(v) AS volume, count(*)::BIGINT AS documents, (max(m) - min(m) + 1)::BIGINT AS months FROM d GROUP BY 1) SELECT n_name, documents, months, volume::DOUBLE AS volume, round(volume::DOUBLE * 12 / months, 2) AS yearly FROM a")
@@ -400,9 +550,9 @@ def conv_notation(spark, root):
     return convert.comma_votes(text, ["a", "b"])
 
 
-@query("SELECT schluessel, regexp_replace(replace(replace(replace(replace(upper(name), 'Ä', 'AE'), 'Ö', 'OE'), 'Ü', 'UE'), 'ẞ', 'SS'), '[^A-Z0-9]', '', 'g') AS key FROM candidates WHERE NOT regexp_matches(upper(name), '[^ -~ÄÖÜẞ]')")
+@query("SELECT schluessel, regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace(replace(upper(coalesce(name, '')), 'Ä', 'AE'), 'Ö', 'OE'), 'Ü', 'UE'), 'ẞ', 'SS'), 'Æ', 'AE'), 'Ø', 'OE'), 'Œ', 'OE')), '[^A-Z0-9]', '', 'g') AS key FROM candidates")
 def norm_key(spark, root):
-    return table(spark, root, "candidates").filter(~F.regexp_replace(F.upper("name"), "[ÄÖÜẞ]", "").rlike("[^ -~]")).select("schluessel", names.norm_key(F.col("name")).alias("key"))
+    return table(spark, root, "candidates").select("schluessel", names.norm_key(F.col("name")).alias("key"))
 
 
 def _round_trip(spark: SparkSession, kind: str, text: str) -> DataFrame:

@@ -81,8 +81,21 @@ def test_exact_pairs_and_clusters(spark):
     chain = spark.range(60).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("left"), F.lpad((F.col("id") + 1).cast("string"), 3, "0").alias("right"))
     assert {r.cluster for r in duplicates.clusters(chain).collect()} == {"000"}
     assert duplicates.clusters(pairs.limit(0)).count() == 0
-    shown = duplicates.cluster_rows(pairs, df, "k", [F.col("v")]).collect()
+    shown = duplicates.cluster_rows(pairs, df, "k", ["v"]).collect()
     assert len(shown) == 1 and shown[0].size == 4 and '"key":"e"' in shown[0].members
+    cut = duplicates.cluster_rows(pairs, df, "k", ["v"], most=2).collect()
+    assert cut[0].size == 4 and cut[0].members == '[{"key":"a","v":"1"},{"key":"b","v":"1"}]'
+
+
+def test_finder(spark):
+    rows = [("1", "Alpha GmbH", "Weg 1", "11111", "Bonn", "DE 1"), ("2", "ALPHA", "Weg 1", "11111", "Bonn", None), ("3", "Beta AG", None, None, None, "de1"), ("4", None, None, None, None, " "), (None, "Alpha", None, "11111", None, "DE1"), ("5", "Alpha", None, "99999", "Ulm", "x")]
+    df = spark.createDataFrame(rows, "k string, n string, s string, p string, o string, u string")
+    finder = duplicates.Finder(("k",), ("u", "missing"), "n", "s", "p", "o", None, fuzzy=True)
+    assert duplicates.candidates(df, finder)[1:] == (["u"], ["country_postcode", "name_sorted", "name_prefix", "country_city", "postcode"])
+    assert duplicates.candidates(df.drop("p"), finder)[2] == ["name_sorted", "name_prefix", "country_city"] and duplicates.candidates(df.drop("n"), finder)[2] == []
+    found = duplicates.duplicate_clusters(df, finder).collect()
+    assert [(r.cluster, r.size, r.score, r.match_type) for r in found] == [("1", 4, 100, "exact")] and '"n":"Beta AG"' in found[0].members
+    assert duplicates.duplicate_clusters(df.limit(0), finder).count() == 0 and duplicates.duplicate_clusters(df, duplicates.Finder(("k",))).count() == 0
 
 
 def test_findings(spark):
@@ -131,7 +144,7 @@ def test_delivery(spark):
     assert delivery.merge_parts([df, df.select("c")]).filter("k IS NULL").count() == 5
     pile = spark.range(200).select(F.when(F.col("id") < 50, "x" * 20).otherwise(F.repeat(F.lit("y"), (F.col("id") % 16).cast("int"))).alias("t"), F.lit(None).cast("string").alias("n"))
     assert [r.column_name for r in delivery.length_pile_ups(pile, ["t", "n"]).collect()] == ["t"]
-    files = spark.createDataFrame([(1, "h", 100, 10), (2, "h", 65536, 0), (3, None, None, None)], "file_id long, sha256 string, raw_row_count long, rejected_rows long")
+    files = spark.createDataFrame([(1, "h", 100, 10), (2, "h", 65535, 0), (3, None, None, None)], "file_id long, sha256 string, raw_row_count long, rejected_rows long")
     assert {(r.file_id, r.state) for r in delivery.reject_ratio(files).collect()} == {(1, "blocking"), (2, "export limit")} and delivery.same_content(files).count() == 1
     cols = spark.createDataFrame([("T", 1, "A"), ("T", 1, "B"), ("T", 2, "A")], "table_name string, file_id long, name string")
     assert [r.name for r in delivery.partial_columns(cols).collect()] == ["B"]

@@ -74,6 +74,30 @@ def test_engine(catalog, spark):
     assert partial.findings.count() == 0 and rl.run(spark, [], {}).findings.columns == rl.FINDING_SCHEMA.names
 
 
+def test_a_rule_that_fails_while_it_runs(catalog, spark, tmp_path):
+    bad = rl.parse_rule({"id": "T-COMP-009", "name": "cast", "category": "format", "severity": "low", "version": "1", "object_area": "partner", "key_columns": ["K"], "requires": {"tables": ["A"], "fields": {"A": ["K", "N"]}}, "sql": "SELECT K FROM A WHERE CAST(N AS INT) > 0"})
+    a = spark.createDataFrame([("1", None, None), ("2", "", "X"), ("3", "n", None)], "K string, N string, C string")
+    outcome = rl.run(spark, [bad, catalog.rules[0]], {"A": a}, str(tmp_path / "raw"))
+    assert outcome.status["T-COMP-009"].startswith("error") and outcome.status["T-COMP-001"] == "ok" and not (tmp_path / "raw" / "rule_id=T-COMP-009").exists()
+    assert [(r.rule_id, r.object_key) for r in outcome.findings.collect()] == [("T-COMP-001", "1")]
+
+
+def test_duplicate_rule(spark):
+    raw = {"id": "T-DUP-001", "name": "same", "kind": "duplicate", "category": "duplicate", "severity": "high", "version": "1", "object_area": "partner", "key_columns": ["K"], "requires": {"tables": ["A"], "fields": {"A": ["K", "N", "V"]}}, "duplicate": {"source": "SELECT K, N, V FROM A WHERE K <> '9'", "key_columns": ["K"], "exact_keys": ["V"], "name_column": "N", "fuzzy": True}}
+    a = spark.createDataFrame([("1", "Alpha Beta", "x"), ("2", "Gamma", "X"), ("3", "Beta Alpha GmbH", None), ("9", "Gamma", "x"), ("4", "Delta", "")], "K string, N string, V string")
+    outcome = rl.run(spark, [rl.parse_rule(raw)], {"A": a})
+    assert outcome.status == {"T-DUP-001": "ok"}
+    assert [(r.object_key, '"size":3' in r.detail) for r in outcome.findings.collect()] == [("1", True)]
+    with pytest.raises(rl.RuleError):
+        rl.parse_rule(raw | {"duplicate": {"source": "x", "key_columns": ["K"], "what": 1}})
+
+
+def test_qualification(catalog):
+    said = rl.qualify(catalog.rules, {"A": {"K", "N"}})
+    assert said["ratio"] == 1 / 3 and said["by_area"] == {"partner": (1, 3)} and said["blocking"] == {"A": 1, "B": 1} and said["missing_tables"] == {"B": 1} and said["incomplete_tables"] == {"A": ["C"]} and "1 of 3" in said["text"]
+    assert rl.qualify([], {})["ratio"] == 0.0
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, -1.0, "2024-01-01 00:00:00"), (1, -1.0, "2024-01-01 00:01:00"), (2, 5.0, "2024-01-01 00:00:00")], "k int, v double, t string").withColumn("t", F.col("t").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
