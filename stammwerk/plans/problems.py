@@ -165,6 +165,13 @@ SQL: dict[str, str] = {
       CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'changed' END AS change
     FROM r n FULL JOIN r o ON n.run_id = o.run_id + 1 AND n.mandt = o.mandt AND n.finding_id = o.finding_id
     WHERE n.h IS DISTINCT FROM o.h AND coalesce(n.run_id, o.run_id + 1) BETWEEN 2 AND (SELECT max(run_id) FROM findings)""",
+    "p4_values": """WITH f AS (SELECT run_id, coalesce(mandt, '') AS mandt, finding_id, loaded_at, detail, severity,
+      md5(concat_ws(chr(31), coalesce(rule_id, ''), coalesce(rule_version, ''), coalesce(rule_name, ''), coalesce(category, ''), coalesce(category_label, ''), coalesce(requirement, ''), coalesce(severity, ''), coalesce(severity_rank::VARCHAR, ''),
+        coalesce(object_area, ''), coalesce(object_type, ''), coalesce(object_key, ''), coalesce(bukrs, ''),
+        CASE WHEN json_valid(detail) THEN list_sort([k || '=' || json_extract(detail, '$."' || k || '"')::VARCHAR for k in json_keys(detail)])::VARCHAR ELSE coalesce(detail, '') END)) AS h FROM findings),
+    r AS (SELECT run_id, mandt, finding_id, arg_max({'h': h, 'd': detail, 's': severity}, loaded_at) AS x FROM f GROUP BY ALL)
+    SELECT n.run_id, n.mandt, n.finding_id, o.x.d AS old_detail, n.x.d AS new_detail, o.x.s AS old_severity, n.x.s AS new_severity
+    FROM r n JOIN r o ON n.run_id = o.run_id + 1 AND n.mandt = o.mandt AND n.finding_id = o.finding_id WHERE n.x.h <> o.x.h""",
     "p6_profile": _CELLS + "SELECT * FROM stats",
     "p6_mask_shift": _SHARES.replace("{what}", _MASK) + "SELECT s.table_name, s.column_name, s.load_id, round(shift, 6) AS shift FROM shift s",
     "p6_masks": _CELLS + f", m AS (SELECT table_name, column_name, load_id, {_MASK} AS mask, count(*)::BIGINT AS n_cells, count(DISTINCT value)::BIGINT AS n_values FROM marked WHERE filled GROUP BY ALL) SELECT m.*, round(n_cells / n_filled, 9) AS share, round(n_cells / n_filled, 9) < 0.01 AS is_rare FROM m JOIN stats s ON (m.table_name, m.column_name, m.load_id) = (s.table_name, s.column_name, s.load_id)",

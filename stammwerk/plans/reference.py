@@ -286,9 +286,9 @@ def ei_deadline(spark, root):
     return einvoice.deadlines(companies, einvoice.yearly_revenue(_billing(spark, root)), spark.createDataFrame([("c1", 5.0)], "company string, revenue double"))
 
 
-@query("WITH r AS (SELECT rule_id, any_value(object_area) AS grp, any_value(severity) AS severity, count(*)::BIGINT AS n, count(DISTINCT object_key)::BIGINT AS hit FROM findings WHERE run_id = 8 GROUP BY 1), q AS (SELECT *, hit % 7 <> 0 AS checkable, round(hit / 2000, 4) AS quota FROM r) SELECT grp AS \"group\", CASE WHEN NOT bool_or(checkable) THEN 'grey' WHEN bool_or(checkable AND severity = 'critical' AND quota > 0.05) THEN 'red' WHEN bool_or(checkable) THEN 'yellow' ELSE 'green' END AS light, count(*)::BIGINT AS n_rules, sum(n)::BIGINT AS n_findings FROM q GROUP BY 1")
+@query("WITH r AS (SELECT rule_id, min(object_area) AS grp, min(severity) AS severity, count(*)::BIGINT AS n, count(DISTINCT object_key)::BIGINT AS hit FROM findings WHERE run_id = 8 GROUP BY 1), q AS (SELECT *, hit % 7 <> 0 AS checkable, round(hit / 2000, 4) AS quota FROM r) SELECT grp AS \"group\", CASE WHEN NOT bool_or(checkable) THEN 'grey' WHEN bool_or(checkable AND severity = 'critical' AND quota > 0.05) THEN 'red' WHEN bool_or(checkable) THEN 'yellow' ELSE 'green' END AS light, count(*)::BIGINT AS n_rules, sum(n)::BIGINT AS n_findings FROM q GROUP BY 1")
 def ei_light(spark, root):
-    rows = table(spark, root, "findings").filter("run_id = 8").groupBy("rule_id").agg(F.any_value("object_area").alias("group"), F.any_value("severity").alias("severity"), F.count(F.lit(1)).alias("n_findings"), F.count_distinct("object_key").alias("n_hit"))
+    rows = table(spark, root, "findings").filter("run_id = 8").groupBy("rule_id").agg(F.min("object_area").alias("group"), F.min("severity").alias("severity"), F.count(F.lit(1)).alias("n_findings"), F.count_distinct("object_key").alias("n_hit"))
     return einvoice.lights(rows.withColumn("checkable", F.col("n_hit") % 7 != 0).withColumn("n_base", F.lit(2000)).withColumn("volume_share", F.lit(None).cast("double")))
 
 
