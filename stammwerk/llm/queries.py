@@ -80,11 +80,23 @@ _P10 = """WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, i::INT, 300)) AS h
 s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b ON a.h = b.h AND a.doc_id < b.doc_id WHERE a.h IN (SELECT h FROM s)"""
 
-#: The other queries (repeated decomposition, learned vocabularies, name similarity, encoding) have no SQL; they are tested against brute force.
+_P1 = """WITH RECURSIVE n AS (SELECT trim(left_schluessel, ' ') AS a, trim(right_schluessel, ' ') AS b FROM match_pairs),
+p AS (SELECT CASE WHEN regexp_full_match(a, '[0-9]+') THEN repeat('0', greatest(18 - length(a), 0)::INT) || a ELSE a END AS a, CASE WHEN regexp_full_match(b, '[0-9]+') THEN repeat('0', greatest(18 - length(b), 0)::INT) || b ELSE b END AS b FROM n WHERE a <> '' AND b <> ''),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(k, l) AS (SELECT a, a FROM e UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.k AND r.l < e.b)
+SELECT min(l) AS cluster_id, k AS schluessel FROM (SELECT k, l FROM r UNION ALL SELECT a, a FROM e) GROUP BY k"""
+_P10_SHARE = """WITH w AS (SELECT doc_id, i, md5(substr(text, i::INT, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)),
+s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, sum(least(coalesce(nxt - i, 300), 300))::BIGINT AS shared_chars FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM w WHERE h IN (SELECT h FROM s)) GROUP BY 1)
+SELECT doc_id, length(text)::INT AS n_chars, shared_chars, round(shared_chars / length(text), 6) AS share FROM c JOIN documents USING (doc_id)"""
+
+#: The other queries (learned vocabularies, name similarity, encoding, edit distances) have no SQL; they are tested against brute force.
 SQL: dict[str, str] = {
     "p9_found": _P9 + "SELECT doc_id, item_id FROM found",
     "p9_report": _P9 + "SELECT item_id, count(*)::BIGINT AS n_documents FROM found GROUP BY 1",
     "p10_found": _P10,
+    "p10_share": _P10_SHARE,
+    "p1_found": _P1,
 }
 
 
