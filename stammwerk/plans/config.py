@@ -28,6 +28,7 @@ class Ingestion:
     files: dict[str, str] = field(default_factory=dict)
     headers: dict[str, dict[str, str]] = field(default_factory=dict)
     alpha: dict[str, int] = field(default_factory=dict)
+    manifest: str = "manifest.yaml"
 
 
 @dataclass

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from stammwerk.functions import masking, validators
 from stammwerk.functions.convert import comma_votes, convert
 from stammwerk.operators import delivery, findings
+from stammwerk.plans import report, state
 from stammwerk.plans import rules as rl
 from stammwerk.plans.config import Project
 from stammwerk.sources import files
@@ -39,6 +40,7 @@ class Ingested:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     files: list[dict] = field(default_factory=list)
     checks: list[Check] = field(default_factory=list)
+    manifest: dict = field(default_factory=dict)
 
 
 def ingest(spark: SparkSession, project: Project, registry: Registry, stage: str) -> Ingested:
@@ -47,6 +49,9 @@ def ingest(spark: SparkSession, project: Project, registry: Registry, stage: str
     parts: dict[str, list[DataFrame]] = {}
     columns: dict[str, list[set[str]]] = {}
     hashes: dict[str, str] = {}
+    told = project.path(project.input) / project.ingestion.manifest
+    manifest = files.read_manifest(told) if project.ingestion.manifest and told.exists() else {"client": None, "date": None, "tables": {}}
+    out.manifest = manifest
     for path in files.scan_files(project.path(project.input), project.ingestion.ignore):
         digest = files.file_hash(path)
         if path.stat().st_size == 0:
@@ -59,7 +64,9 @@ def ingest(spark: SparkSession, project: Project, registry: Registry, stage: str
         info = files.detect_format(path)
         loaded = files.load(spark, path, info)
         chosen = registry.assign(str(path), loaded.columns, project.ingestion.files)
-        date, source = files.extraction_date(path.name, configured=project.delivery.date)
+        own = manifest["tables"].get(chosen.table or "", {}).get("date") or manifest["date"]
+        changed = time.strftime("%Y-%m-%d", time.gmtime(path.stat().st_mtime))
+        date, source = files.extraction_date(path.name, own, project.delivery.date, changed)
         entry = {"file": path.name, "sha256": digest, "format": info.kind, "encoding": info.encoding, "delimiter": info.delimiter, "table": chosen.table, "method": chosen.method, "date": date, "date_source": source}
         if loaded.rejects is not None:
             entry["rejected"] = loaded.rejects.count()
@@ -99,14 +106,26 @@ def ingest(spark: SparkSession, project: Project, registry: Registry, stage: str
 def validate(ingested: Ingested, project: Project, registry: Registry) -> list[Check]:
     """All checks of the delivery; an error blocks."""
     checks = list(ingested.checks)
+    for name, entries in _by_table(ingested.files).items():
+        days = sorted({e["date"] for e in entries if e["date_source"] != "file time"})
+        if any(e["date_source"] == "file time" for e in entries):
+            checks.append(Check("cut-off date", "warning", name, "no date but that of the file is known"))
+        if len(days) > 1:
+            checks.append(Check("cut-off date", "warning", name, f"parts of several days: {days}"))
     for name in project.delivery.must_tables:
         if name not in ingested.tables:
             checks.append(Check("usability", "error", name, "table is missing"))
-    for row in delivery.row_counts(ingested.tables, project.delivery.expected_rows, project.delivery.tolerance).collect() if ingested.tables else []:
+    expected = {n: t["rows"] for n, t in ingested.manifest.get("tables", {}).items() if t.get("rows") is not None} | project.delivery.expected_rows
+    for row in delivery.row_counts(ingested.tables, expected, project.delivery.tolerance).collect() if ingested.tables else []:
         if row.state != "ok":
+            if row.n_rows == 0:
+                checks.append(Check("usability", "error" if row.table_name in project.delivery.must_tables else "warning", row.table_name, "no rows are left"))
             checks.append(Check("row count", "error" if row.state == "differs" else "warning", row.table_name, f"{row.n_rows} rows, reported {row.reported}"))
     for name, df in ingested.tables.items():
         table = registry.tables[name]
+        strange = [c for c in df.columns if c not in table.fields]
+        if strange:
+            checks.append(Check("usability", "warning", name, f"unknown columns: {strange}"))
         missing = [k for k in table.key if k not in df.columns]
         if missing:
             checks.append(Check("usability", "error", name, f"key fields missing: {missing}"))
@@ -123,10 +142,20 @@ def validate(ingested: Ingested, project: Project, registry: Registry) -> list[C
     return checks
 
 
+def _by_table(entries: list[dict]) -> dict[str, list[dict]]:
+    found: dict[str, list[dict]] = {}
+    for e in entries:
+        if e["table"]:
+            found.setdefault(e["table"], []).append(e)
+    return found
+
+
 def execute(spark: SparkSession, project: Project, registry: Registry, force: bool = False) -> dict:
     """The whole run; returns what run.json holds. Raises DeliveryError if a check blocks, unless forced."""
     run_id = time.strftime("%Y%m%dT%H%M%SZ", time.gmtime())
     target = project.path(project.output) / run_id
+    if target.exists():
+        raise DeliveryError(f"{target} is there already; no run writes over another")
     ingested = ingest(spark, project, registry, str(target / "staged"))
     checks = validate(ingested, project, registry)
     blocking = [c for c in checks if c.level == "error"]
@@ -154,25 +183,36 @@ def execute(spark: SparkSession, project: Project, registry: Registry, force: bo
         files.write_csv(rl.ordered(full.drop("exception_ids")), str(target / "findings.csv"), ["severity_rank", "rule_id", "object_key", "finding_id"])
     finally:
         (target / "run.json").write_text(json.dumps(result, indent=1, default=str), encoding="utf-8")
+        (target / "summary.md").write_text(report.summary(result), encoding="utf-8")
+        (target / "coverage.csv").write_text(report.coverage_csv(result.get("coverage", {})), encoding="utf-8")
+        state.audit(project.path(project.output) / "audit.jsonl", "run", run_id=run_id, fingerprint=project.fingerprint, catalog=result.get("catalog", []), files={e["file"]: e["sha256"] for e in ingested.files}, forced=force, blocked=bool(blocking and not force))
     return result
 
 
 def enrich(spark: SparkSession, raw: DataFrame, project: Project) -> DataFrame:
     """Exceptions, status, owner and delta; the state files are optional."""
-    import yaml
-
     schema = "entry_id string, finding_id string, rule_id string, object_key string, pattern string, mandt string, reason string, expires date"
-    entries = yaml.safe_load(project.path(project.findings.exceptions).read_text(encoding="utf-8")) if project.findings.exceptions else []
-    rows = [tuple(e.get(c.split()[0]) for c in schema.split(", ")) for e in entries or []]
-    if any(not r[6] for r in rows):
-        raise ValueError("every exception needs a reason")
+    entries = state.read_exceptions(project.path(project.findings.exceptions)) if project.findings.exceptions else []
+    rows = [tuple(e.get(c.split()[0]) for c in schema.split(", ")) for e in entries]
     status = spark.read.csv(str(project.path(project.findings.status)), header=True, schema="finding_id string, status string, note string", sep=";") if project.findings.status else spark.createDataFrame([], "finding_id string, status string, note string")
     owners = spark.createDataFrame([(o["kind"], o["name"], o["owner"]) for o in project.findings.owners], "kind string, name string, owner string")
-    before = spark.read.parquet(str(project.path(project.findings.baseline) / "findings")) if project.findings.baseline else None
+    base = baseline(project)
+    before = spark.read.parquet(str(base / "findings")) if base else None
     full = findings.with_exceptions(raw, spark.createDataFrame(rows, schema), project.as_of)
     return findings.with_delta(findings.with_owner(findings.with_status(full, status), owners, project.findings.default_owner), before)
 
 
+def baseline(project: Project) -> Path | None:
+    """The run to compare with: the one that is named, else the newest earlier one with findings; `none` compares with nothing."""
+    if project.findings.baseline == "none":
+        return None
+    if project.findings.baseline:
+        return project.path(project.findings.baseline)
+    root = project.path(project.output)
+    runs = sorted(p for p in root.iterdir() if (p / "run.json").exists() and (p / "findings").exists()) if root.exists() else []
+    return runs[-1] if runs else None
+
+
 def pseudonymise(spark: SparkSession, project: Project, stage: str, target: str) -> list[str]:
     """Masked copies of staged tables: privacy.fields names the method of each column; the salt file is made once, readable by its owner only."""
     import secrets

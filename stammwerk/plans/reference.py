@@ -568,12 +568,19 @@ def _round_trip(spark: SparkSession, kind: str, text: str) -> DataFrame:
     return files.load(spark, folder / "t.txt").table
 
 
-@query("SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_nationkey = 3 THEN n_name || ';\"' || chr(10) || 'x' ELSE n_name END AS n_name FROM nation")
+@query("SELECT row_id::VARCHAR AS row_id, CASE WHEN row_id % 5 = 0 THEN coalesce(maktx, '') || ';\"' || chr(10) || 'x' ELSE coalesce(maktx, '') END AS maktx FROM makt")
 def scan_csv(spark, root):
-    """Nations as a delimited file with quoted delimiters, quotes and line breaks, read back as text."""
-    rows = table(spark, root, "nation").orderBy("n_nationkey").collect()  # 25 rows
-    name = lambda r: r.n_name + (';"\nx' if r.n_nationkey == 3 else "")
-    return _round_trip(spark, "csv", "n_nationkey;n_name\n" + "".join(f'{r.n_nationkey};"{name(r).replace(chr(34), chr(34) * 2)}"\n' for r in rows))
+    """Short texts as delimited files with quoted delimiters, quotes and line breaks, read back by ranges as text."""
+    from stammwerk.session import Scratch
+    from stammwerk.sources import records
+
+    text = F.when(F.col("row_id") % 5 == 0, F.concat(F.coalesce("maktx", F.lit("")), F.lit(';"\nx'))).otherwise(F.coalesce("maktx", F.lit("")))
+    line = F.concat(F.col("row_id").cast("string"), F.lit(';"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    folder = Scratch(spark, "file").path
+    table(spark, root, "makt").select(line.alias("value")).write.text(folder)
+    found = records.read_records(spark, folder, ";").select("raw_text", F.lit(";").alias("delimiter"), F.lit("cc").alias("types"))
+    cells = record_parse.parse(found).filter("reason IS NULL")
+    return cells.select(F.col("cells")[0].alias("row_id"), F.col("cells")[1].alias("maktx"))
 
 
 @query("SELECT r_regionkey::VARCHAR AS \"Key\", r_name AS \"Name\" FROM region")

@@ -7,9 +7,9 @@ from __future__ import annotations
 import codecs
 import csv
 import hashlib
+import io
 import itertools
 import re
-import shutil
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -18,11 +18,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stammwerk.functions.convert import typed_to_text
 from stammwerk.operators import record_parse
-from stammwerk.session import Scratch, scratch_root
+from stammwerk.session import Scratch, _delete, _place, scratch_root
+from stammwerk.sources import records
 
 SUFFIXES = {".csv", ".txt", ".tsv", ".dat", ".parquet", ".xlsx"}
 DELIMITERS = [";", "\t", "|", ","]
@@ -156,19 +156,17 @@ def transcode(spark: SparkSession, path: str, encoding: str) -> str:
 def read_csv(spark: SparkSession, path: str, info: FormatInfo, short_rows: str = "pad") -> Loaded:
     """All cells as text. Quoted cells may hold line breaks; short rows are padded, long ones and broken quotes set apart with the reason.
 
-    Spark's reader splits the records (multi-line); rows that do not have the header's cells are tokenised again to tell short from long ones."""
+    The file is read by byte ranges (`records.read_records`) and its records go through the tokenizer, so a large file is many tasks. Blank lines are no rows."""
     with open(path, encoding=info.encoding, newline="", errors="replace") as f:
-        header = clean_header(next(csv.reader(f, delimiter=info.delimiter), []))
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in header), T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(schema).csv(transcode(spark, path, info.encoding), sep=info.delimiter, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=True, nullValue="\x00", emptyValue="")
-    rows = Scratch(spark, "csv").write(rows)  # rows and rejects come from one parse
-    good = rows.filter("_bad IS NULL").select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header))
-    bad = rows.filter("_bad IS NOT NULL").select(F.regexp_replace("_bad", r"\r?\n\z", "").alias("raw_text"), F.lit(info.delimiter).alias("delimiter"), F.lit(None).cast("array<string>").alias("types"))
-    again = record_parse.parse(bad.withColumn("raw", F.col("raw_text")))
-    short = again.filter(F.col("reason").isNull() & (F.size("cells") <= len(header)))
-    padded = short.select(*(F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")).alias(c) for i, c in enumerate(header)))
-    rejects = again.filter(F.col("reason").isNotNull() | (F.size("cells") > len(header))).select("raw", F.coalesce("reason", F.lit("cell_count")).alias("reason"))
-    return Loaded(good.unionByName(padded) if short_rows == "pad" else good, header, rejects)
+        head = f.read(PROBE)
+        header = clean_header(next(csv.reader(io.StringIO(head.lstrip("\ufeff"), newline=""), delimiter=info.delimiter), []))
+    line_end = "\r" if "\r" in head and "\n" not in head else "\n"
+    found = records.read_records(spark, transcode(spark, str(path), info.encoding), info.delimiter, line_end).filter("(start <> 0 OR no <> 0) AND raw_text <> ''")
+    asked = found.select(F.col("raw_text").alias("raw"), "raw_text", F.lit(info.delimiter).alias("delimiter"), F.lit(None).cast("string").alias("types"))
+    parsed = Scratch(spark, "csv").write(record_parse.parse(asked))  # rows and rejects come from one parse
+    fits = F.col("reason").isNull() & (F.size("cells") == len(header) if short_rows != "pad" else F.size("cells") <= len(header))
+    table = parsed.filter(fits).select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(header)))
+    return Loaded(table, header, parsed.filter(~fits).select("raw", F.coalesce("reason", F.lit("cell_count")).alias("reason")))
 
 
 def read_framed(spark: SparkSession, path: str, info: FormatInfo) -> Loaded:
@@ -252,12 +250,20 @@ def write_findings(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One semicolon file with a byte order mark, for people; written in order by Spark and joined on the driver part by part."""
-    parts = Path(f"{path}.parts")
-    df.orderBy(*order).write.mode("overwrite").csv(str(parts), sep=";", header=False, quote='"', escape='"', emptyValue="")
-    with open(path, "wb") as out:
-        out.write(b"\xef\xbb\xbf" + ";".join(df.columns).encode() + b"\n")
-        for part in sorted(parts.glob("part-*")):
-            with open(part, "rb") as f:
-                shutil.copyfileobj(f, out)
-    shutil.rmtree(parts)
+    """One semicolon file with a byte order mark, for people; written in order by Spark and joined part by part, on any file system that Spark can reach."""
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    df.orderBy(*order).write.mode("overwrite").csv(parts, sep=";", header=False, quote='"', escape='"', emptyValue="")
+    place, system = _place(spark, path)
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(b"\xef\xbb\xbf" + ";".join(df.columns).encode() + b"\n"))
+        for name in sorted(str(s.getPath()) for s in system.listStatus(_place(spark, parts)[0]) if s.getPath().getName().startswith("part-")):
+            part = system.open(_place(spark, name)[0])
+            try:
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(part, out)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    _delete(spark, parts)

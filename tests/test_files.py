@@ -43,6 +43,34 @@ def test_csv(spark, tmp_path, encoding):
     assert [tuple(r) for r in loaded.rejects.collect()] == [("4;too;many;cells", "cell_count")]
 
 
+@pytest.mark.parametrize("size", ["7", "40", "1000000"])
+def test_records_by_ranges(spark, tmp_path, size):
+    """However the file is cut, the records are those of a plain reader."""
+    import random
+
+    rng = random.Random(int(size))
+    rows = [["".join(rng.choice('ab";\n\u00e4 x') for _ in range(rng.randint(0, 12))) for _ in range(3)] for _ in range(120)] + [["x" * 300 + "\n" * 40, "y", 'in "plain" z']]
+    cell = lambda c: '"' + c.replace('"', '""') + '"' if c[:1] == '"' or any(x in c for x in ";\n") or rng.random() < 0.2 else c
+    text = "".join(";".join(map(cell, r)) + rng.choice(["\n", "\r\n"]) for r in [["A", "B", "C"], *rows])
+    path = put(tmp_path, "t.csv", text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        loaded = files.read_csv(spark, path, files.FormatInfo("csv"))
+        got = sorted(tuple(r) for r in loaded.table.collect())
+        assert loaded.rejects.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes"), spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(tuple(r) for r in rows)
+
+
+def test_unclosed_quote_and_empty_files(spark, tmp_path):
+    loaded = files.load(spark, put(tmp_path, "u.csv", b'A;B\n1;2\n3;"never\n4;5\n'))
+    assert [tuple(r) for r in loaded.table.collect()] == [("1", "2")] and [r.reason for r in loaded.rejects.collect()] == ["unclosed_quote"]
+    assert files.load(spark, put(tmp_path, "h.csv", b"A;B\n")).table.count() == 0 and files.load(spark, put(tmp_path, "e.csv", b"")).columns == []
+    assert files.load(spark, put(tmp_path, "m.csv", b"A;B\r1;2\r3;4")).table.count() == 2
+
+
 def test_framed(spark, tmp_path):
     path = put(tmp_path, "r.txt", "Report\n--------\n|K  |Text |\n--------\n|1  |ä a  |\n|2  |x |y |\n|3  |     |\nlost line\n--------\n".encode("utf-8"))
     loaded = files.load(spark, path)

@@ -48,6 +48,9 @@ def test_run(spark, project, tmp_path):
     staged = {r.MATNR: r for r in spark.read.parquet(str(out / "staged" / "MARA")).collect()}
     assert staged["0" * 17 + "1"].BRGEW == 1234.5 and str(staged["0" * 17 + "2"].ERSDA) == "2024-01-15" and staged["X-5"].MATKL == "k.A." and len(staged) == 4
     assert json.loads((out / "run.json").read_text())["n_findings"] == 4 and (out / "findings.csv").read_bytes().count(b"\n") == 5
+    assert (out / "summary.md").read_text().count("| critical | 1 |") == 1 and (out / "coverage.csv").read_text().splitlines()[1:] == ["MAT-COMP-001;yes;;", "MAT-REF-001;yes;;", "MAT-REF-002;no;MARC;MATNR"]
+    assert json.loads((tmp_path / "out" / "audit.jsonl").read_text())["run_id"] == result["run_id"] and pipeline.baseline(project) == out
+    assert {(c["check"], c["text"]) for c in result["checks"] if c["table"] == "MARA"} >= {("usability", "unknown columns: ['Zusatz']")} and result["qualification"]["by_area"] == {"material": (2, 3)}
     assert {r.data_owner for r in spark.read.parquet(str(out / "findings")).collect()} == {"M"}
     assert pipeline.pseudonymise(spark, project, str(out / "staged"), str(tmp_path / "masked")) == ["MARA", "T023"]
     assert all(r.MATNR.startswith("X") and r.MATNR != "X-5" for r in spark.read.parquet(str(tmp_path / "masked" / "MARA")).collect())
@@ -67,3 +70,30 @@ def test_configuration(tmp_path):
     (tmp_path / "p.yaml").write_text("delivery: {what: 1}")
     with pytest.raises(ConfigError):
         read_project(tmp_path / "p.yaml")
+
+
+def test_manifest_and_dates_in_the_run(spark, project, tmp_path):
+    (tmp_path / "in" / "manifest.yaml").write_text("date: 2024-02-01\ntables: {T023: {rows: 3, date: 2024-03-01}}\n")
+    project.delivery.expected_rows.clear()
+    ingested = pipeline.ingest(spark, project, REGISTRY, str(tmp_path / "s"))
+    assert {(e["table"], e["date"], e["date_source"]) for e in ingested.files} == {("MARA", "2024-02-01", "manifest"), ("T023", "2024-03-01", "manifest")}
+    checks = pipeline.validate(ingested, project, REGISTRY)
+    assert ("row count", "T023", "2 rows, reported 3") in {(c.check, c.table, c.text) for c in checks}
+
+
+def test_state_and_commands(tmp_path, capsys):
+    from stammwerk.__main__ import main
+    from stammwerk.plans import state
+
+    assert main(["init", str(tmp_path / "p")]) == 0 and main(["init", str(tmp_path / "p")]) == 2
+    project = str(tmp_path / "p" / "project.yaml")
+    assert main(["whitelist", project, "--rule-id", "R", "--reason", "agreed", "--expires", "2030-01-31"]) == 0 and main(["whitelist", project, "--reason", "no condition"]) == 2 and main(["whitelist", project, "--rule-id", "R"]) == 2
+    assert main(["whitelist", project, "--pattern", "x*", "--reason", "shape"]) == 0 and main(["whitelist", project, "--end", "e2", "--expires", "2024-01-01"]) == 0 and main(["whitelist", project, "--end", "e9"]) == 2
+    entries = state.read_exceptions(tmp_path / "p" / "exceptions.yaml")
+    assert [(e["entry_id"], str(e["expires"])) for e in entries] == [("e1", "2030-01-31"), ("e2", "2024-01-01")]
+    assert main(["status", project, "f1", "f2", "--set", "accepted", "--note", "a;b"]) == 0 and main(["status", project, "f1", "--set", "what"]) == 2 and main(["status", project, "f1", "--set", "open"]) == 0
+    assert state.read_status(tmp_path / "p" / "status.csv") == {"f1": {"status": "open", "note": ""}, "f2": {"status": "accepted", "note": "a;b"}}
+    assert len((tmp_path / "p" / "output" / "audit.jsonl").read_text().splitlines()) == 5
+    (tmp_path / "x.yaml").write_text("- {entry_id: e1, rule_id: R}")
+    with pytest.raises(state.StateError):
+        state.read_exceptions(tmp_path / "x.yaml")
