@@ -28,7 +28,7 @@ from stammwerk.operators.skew import hot_keys, salted_join
 from stammwerk.session import Scratch
 
 #: Rate of the exponential shifts, and rounds of growth a level.
-BETA, ROUNDS = 0.1, 4
+BETA, ROUNDS = 0.1, 3
 #: A vertex with more edges than this is cut into splits.
 HUB = 20_000
 #: A graph of at most so many edges (both directions) is finished in one task.
