@@ -67,6 +67,13 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return shared_spans.sharing_pairs(table(spark, root, "documents"), "doc_id", "text").select(F.col("doc_a").alias("doc_id_a"), F.col("doc_b").alias("doc_id_b"))
 
 
+def p10_classes(spark: SparkSession, root: str) -> DataFrame:
+    """The same links unexpanded: one row per set of documents that share a passage, and document, with the set's size."""
+    found = shared_spans.sharing_classes(table(spark, root, "documents"), "doc_id", "text")
+    named = found.groupBy("w1", "w2").agg(F.min("doc").alias("first_doc_id"), F.count(F.lit(1)).alias("n_documents"))
+    return found.join(named, ["w1", "w2"]).select(F.concat(F.hex("w1"), F.hex("w2")).alias("class_id"), "first_doc_id", "n_documents", F.col("doc").alias("doc_id"))
+
+
 def p10_share(spark: SparkSession, root: str) -> DataFrame:
     return shared_spans.shared_share(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 

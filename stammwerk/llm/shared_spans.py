@@ -241,13 +241,20 @@ def shared_windows(documents: DataFrame, doc_id: str, text: str, span: int = 300
     return pieces, scratch.write(found)
 
 
-def sharing_pairs(documents: DataFrame, doc_id: str, text: str, span: int = 300) -> DataFrame:
-    """(doc_a, doc_b), a smaller: all pairs of records that share a span."""
+def sharing_classes(documents: DataFrame, doc_id: str, text: str, span: int = 300) -> DataFrame:
+    """(w1, w2, doc): the records of every distinct set of records that share a span, named by one of its windows; one row per set and record.
+
+    All links of `sharing_pairs` stand in it, unexpanded: two records share a span if and only if some set holds both."""
     pieces, found = shared_windows(documents, doc_id, text, span)
     holders = found.filter(F.col("kind") == _HOLDER)
     chosen = holders.groupBy(*_SIGNS[:3]).agg(F.min(F.struct("w1", "w2")).alias("w")).select("w.w1", "w.w2")
     kept = holders.join(chosen, ["w1", "w2"], "left_semi").select("w1", "w2", "h1", "h2").distinct().join(pieces.select("h1", "h2", "doc"), ["h1", "h2"]).select("w1", "w2", "doc").distinct()
-    return pairs_within(Scratch(documents.sparkSession, "sharing").write(kept), ["w1", "w2"], "doc").select("doc_a", "doc_b").distinct()
+    return Scratch(documents.sparkSession, "sharing").write(kept)
+
+
+def sharing_pairs(documents: DataFrame, doc_id: str, text: str, span: int = 300) -> DataFrame:
+    """(doc_a, doc_b), a smaller: all pairs of records that share a span."""
+    return pairs_within(sharing_classes(documents, doc_id, text, span), ["w1", "w2"], "doc").select("doc_a", "doc_b").distinct()
 
 
 def shared_share(documents: DataFrame, doc_id: str, text: str, span: int = 300) -> DataFrame:

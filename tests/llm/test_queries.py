@@ -63,5 +63,10 @@ def test_the_others_hold_together(spark):
     assert linked and all(a < b and entity[a] == entity[b] for a, b in linked)
     near, exact = {(r.doc_id, r.item_id): r.edits for r in queries.p9_near(spark, ROOT).collect()}, pairs(queries.p9_found(spark, ROOT))
     assert {k for k, e in near.items() if e == 0} == exact
+    classes = {}
+    for r in queries.p10_classes(spark, ROOT).collect():
+        classes.setdefault((r.class_id, r.n_documents), set()).add(r.doc_id)
+    assert all(len(docs) == n > 1 for (_, n), docs in classes.items())
+    assert {(a, b) for docs in classes.values() for a in docs for b in docs if a < b} == pairs(queries.p10_found(spark, ROOT))
     share = {r.doc_id: r.share for r in queries.p10_share(spark, ROOT).collect()}
     assert set(share) == {d for p in pairs(queries.p10_found(spark, ROOT)) for d in p} and all(0 < s <= 1 for s in share.values())
