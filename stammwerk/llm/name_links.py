@@ -28,7 +28,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -69,12 +68,19 @@ def fold(text: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-@lru_cache(maxsize=1 << 18)
+_LETTERS: dict[str, int] = {}
+
+
 def _letters(word: str) -> int:
     """The set of characters as bits."""
-    bits = 0
-    for c in word:
-        bits |= 1 << (ord(c) & 63)
+    bits = _LETTERS.get(word)
+    if bits is None:
+        if len(_LETTERS) > 200_000:
+            _LETTERS.clear()
+        bits = 0
+        for c in word:
+            bits |= 1 << (ord(c) & 63)
+        _LETTERS[word] = bits
     return bits
 
 

@@ -128,3 +128,22 @@ def test_pairs_of_buckets_like_brute_force(spark, monkeypatch):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_tasks_need_no_package(tmp_path):
+    """Functions travel by value: a worker without the package on its path links names all the same."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        f"import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})\n"
+        "from stammwerk.session import get_session\nfrom stammwerk.llm import name_links as nl\n"
+        "spark = get_session('local[2]', 2)\n"
+        "df = spark.createDataFrame([('a', 'Dadrelkazig Spedition KG', 'Weg 1', '11111', 'Bonn', '', False), ('b', 'Dadrelkazg Spedition', 'Weg 1', '11111', 'Bonn', '', False)], 'key string, name string, street string, postcode string, city string, vat string, person boolean')\n"
+        "print(sorted(tuple(r) for r in nl.linked_names(df).collect()))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert done.stdout.strip().endswith("[('a', 'a'), ('b', 'a')]"), done.stderr[-2000:]
