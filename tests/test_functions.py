@@ -84,3 +84,13 @@ def test_masking(spark, checks):
     assert out.n.startswith("Person ") and out.p.isdigit() and len(out.p) == 5 and out.e == "" and out.z is None
     assert df.select(masking.mask(F.col("n"), "person", "salt")).collect() == df.select(masking.mask(F.col("n"), "person", "salt")).collect()
     assert df.select(masking.redact(F.lit("a@b.de IBAN DE89370400440532013000, 123456789012"))).collect()[0][0] == "<e-mail> IBAN <iban>, <number>"
+
+
+def test_digest_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([("M\u00fcller",), ("",), (None,)], "v string")
+    for key in ("pepper", "k" * 100):
+        got = [r[0] for r in df.select(masking.digest(F.col("v"), key)).collect()]
+        assert got == [hmac.new(key.encode(), v.encode(), hashlib.sha256).hexdigest() for v in ("M\u00fcller", "")] + [None]
