@@ -52,28 +52,35 @@ def ingest(spark: SparkSession, project: Project, registry: Registry, stage: str
     told = project.path(project.input) / project.ingestion.manifest
     manifest = files.read_manifest(told) if project.ingestion.manifest and told.exists() else {"client": None, "date": None, "tables": {}}
     out.manifest = manifest
-    for path in files.scan_files(project.path(project.input), project.ingestion.ignore):
-        digest = files.file_hash(path)
-        if path.stat().st_size == 0:
+    found = files.scan_files(project.path(project.input), project.ingestion.ignore)
+    probes = files.probe_files(spark, found)
+    for path in found:
+        seen = probes[str(path)]
+        if seen.size == 0:
             out.checks.append(Check("files", "warning", "", f"{path.name} is empty"))
             continue
-        if digest in hashes:
-            out.checks.append(Check("files", "error", "", f"{path.name} has the content of {hashes[digest]}"))
+        if seen.sha256 in hashes:
+            out.checks.append(Check("files", "error", "", f"{path.name} has the content of {hashes[seen.sha256]}"))
             continue
-        hashes[digest] = path.name
-        info = files.detect_format(path)
+        hashes[seen.sha256] = path.name
+        info = files.detect_format(path, seen.encoding)
         loaded = files.load(spark, path, info)
         chosen = registry.assign(str(path), loaded.columns, project.ingestion.files)
         own = manifest["tables"].get(chosen.table or "", {}).get("date") or manifest["date"]
         changed = time.strftime("%Y-%m-%d", time.gmtime(path.stat().st_mtime))
         date, source = files.extraction_date(path.name, own, project.delivery.date, changed)
-        entry = {"file": path.name, "sha256": digest, "format": info.kind, "encoding": info.encoding, "delimiter": info.delimiter, "table": chosen.table, "method": chosen.method, "date": date, "date_source": source}
-        if loaded.rejects is not None:
-            entry["rejected"] = loaded.rejects.count()
-            entry["reject_samples"] = [r.raw for r in loaded.rejects.orderBy("raw").limit(5).collect()]
-            rows = loaded.table.count()
-            if rows and entry["rejected"] > project.delivery.reject_ratio * (rows + entry["rejected"]):
-                out.checks.append(Check("parse", "error", chosen.table or "", f"{path.name}: {entry['rejected']} rows rejected"))
+        entry = {"file": path.name, "sha256": seen.sha256, "format": info.kind, "encoding": info.encoding, "delimiter": info.delimiter, "table": chosen.table, "method": chosen.method, "date": date, "date_source": source}
+        if loaded.totals is not None:
+            counted = loaded.totals.first()
+            entry |= {"rows": counted.n_rows, "rejected": counted.n_rejected, "rejected_distinct": counted.n_distinct_rejected, "incomplete_last_line": seen.ends_open}
+            entry["reject_samples"] = [r.raw for r in loaded.rejects.orderBy("raw").limit(5).collect()] if counted.n_rejected else []
+            every = counted.n_rows + counted.n_rejected
+            if counted.n_rejected > project.delivery.reject_ratio * every:
+                out.checks.append(Check("parse", "error", chosen.table or "", f"{path.name}: {counted.n_rejected} of {every} rows rejected"))
+            if seen.ends_open:
+                out.checks.append(Check("parse", "warning", chosen.table or "", f"{path.name}: the last line has no end"))
+            if every in delivery.EXPORT_LIMITS:
+                out.checks.append(Check("parse", "warning", chosen.table or "", f"{path.name}: {every} rows are a known export limit"))
         out.files.append(entry)
         if chosen.table is None:
             out.checks.append(Check("files", "warning", "", f"{path.name} fits no table"))

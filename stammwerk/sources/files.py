@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from fnmatch import fnmatch
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ class Loaded:
     table: DataFrame
     columns: list[str]
     rejects: DataFrame | None = None
+    #: One row: n_rows, n_rejected, n_distinct_rejected; computed in one pass when it is asked for.
+    totals: DataFrame | None = None
     widths: dict[str, int] = field(default_factory=dict)
 
 
@@ -58,6 +61,49 @@ def _pieces(path: str | Path) -> Iterator[bytes]:
             yield piece
 
 
+@dataclass(frozen=True)
+class Probe:
+    """What one pass over the bytes of a file tells."""
+
+    size: int
+    sha256: str
+    encoding: str
+    ends_open: bool  # the last line has no end
+
+
+def probe(path: str | Path) -> Probe:
+    digest, size, last = hashlib.sha256(), 0, b""
+
+    def pieces() -> Iterator[bytes]:
+        nonlocal size, last
+        for piece in _pieces(path):
+            digest.update(piece)
+            size, last = size + len(piece), (last + piece)[-2:]
+            yield piece
+
+    left = pieces()
+    encoding = detect_encoding(left)
+    for _ in left:  # what the detection did not need
+        pass
+    return Probe(size, digest.hexdigest(), encoding, bool(size) and last not in (b"\n\0", b"\0\n") and last[-1:] not in (b"\n", b"\r"))
+
+
+def probe_files(spark: SparkSession, paths: list[Path]) -> dict[str, Probe]:
+    """A probe of every file, read by the tasks; the folder of the delivery must be reachable for all of them, as the scratch folder is."""
+    if not paths:
+        return {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [probe(path) for path in part.path]
+            yield pd.DataFrame({"path": part.path, **{f: [getattr(p, f) for p in found] for f in ("size", "sha256", "encoding", "ends_open")}})
+
+    # by size, so that a few large files do not sit in one task
+    spread = spark.createDataFrame([(str(p),) for p in sorted(paths, key=lambda p: -p.stat().st_size)], "path string").repartition(min(len(paths), 512))
+    rows = spread.mapInPandas(run, "path string, size long, sha256 string, encoding string, ends_open boolean").collect()  # a row for each file
+    return {r.path: Probe(r["size"], r.sha256, r.encoding, r.ends_open) for r in rows}
+
+
 def file_hash(path: str | Path) -> str:
     digest = hashlib.sha256()
     for piece in _pieces(path):
@@ -109,13 +155,14 @@ def is_framed(lines: list[str]) -> bool:
     return any(_RULER.match(x) for x in head) and sum(x.startswith("|") and x.endswith("|") and not _RULER.match(x) for x in head) >= 2
 
 
-def detect_format(path: str | Path) -> FormatInfo:
+def detect_format(path: str | Path, encoding: str | None = None) -> FormatInfo:
+    """encoding: what a probe found; without it the file is read for it."""
     suffix = Path(path).suffix.lower()
     if suffix == ".parquet":
         return FormatInfo("parquet")
     if suffix == ".xlsx":
         return FormatInfo("xlsx")
-    encoding = detect_encoding(_pieces(path))
+    encoding = encoding or detect_encoding(_pieces(path))
     with open(path, encoding=encoding, errors="replace", newline="") as f:
         lines = f.read(PROBE).splitlines()
     return FormatInfo("framed", encoding) if is_framed(lines) else FormatInfo("csv", encoding, detect_delimiter(lines))
@@ -166,7 +213,8 @@ def read_csv(spark: SparkSession, path: str, info: FormatInfo, short_rows: str =
     parsed = Scratch(spark, "csv").write(record_parse.parse(asked))  # rows and rejects come from one parse
     fits = F.col("reason").isNull() & (F.size("cells") == len(header) if short_rows != "pad" else F.size("cells") <= len(header))
     table = parsed.filter(fits).select(*(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(header)))
-    return Loaded(table, header, parsed.filter(~fits).select("raw", F.coalesce("reason", F.lit("cell_count")).alias("reason")))
+    totals = parsed.agg(F.count_if(fits).alias("n_rows"), F.count_if(~fits).alias("n_rejected"), F.count_distinct(F.when(~fits, F.col("raw"))).alias("n_distinct_rejected"))
+    return Loaded(table, header, parsed.filter(~fits).select("raw", F.coalesce("reason", F.lit("cell_count")).alias("reason")), totals)
 
 
 def read_framed(spark: SparkSession, path: str, info: FormatInfo) -> Loaded:
@@ -189,7 +237,9 @@ def read_framed(spark: SparkSession, path: str, info: FormatInfo) -> Loaded:
     split = rows.select("line", F.split(F.expr("substring(line, 2, length(line) - 2)"), r"\|", -1).alias("cells"))
     whole = framed & (F.size("cells") == len(header)) & F.endswith("line", F.lit("|"))
     table = split.filter(whole).select(*(F.trim(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(header)))
-    return Loaded(table, header, split.filter(~whole).select(F.col("line").alias("raw"), F.when(framed, "cell_count").otherwise("unframed").alias("reason")), dict(zip(header, map(len, cells), strict=True)))
+    totals = split.agg(F.count_if(whole).alias("n_rows"), F.count_if(~whole).alias("n_rejected"), F.count_distinct(F.when(~whole, F.col("line"))).alias("n_distinct_rejected"))
+    rejects = split.filter(~whole).select(F.col("line").alias("raw"), F.when(framed, "cell_count").otherwise("unframed").alias("reason"))
+    return Loaded(table, header, rejects, totals, dict(zip(header, map(len, cells), strict=True)))
 
 
 def read_parquet(spark: SparkSession, path: str) -> Loaded:

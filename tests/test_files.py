@@ -64,6 +64,16 @@ def test_records_by_ranges(spark, tmp_path, size):
     assert got == sorted(tuple(r) for r in rows)
 
 
+def test_probes(spark, tmp_path):
+    import hashlib
+
+    contents = {"a.csv": b"x;y\n1;2\n", "b.csv": b"x\n1", "c.csv": b"", "d.csv": "x\n1\n".encode("utf-16"), "e.csv": "\u00e4\n".encode("cp1252")}
+    paths = [put(tmp_path, n, c) for n, c in contents.items()]
+    found = {p.name: files.probe_files(spark, paths)[str(p)] for p in paths}
+    assert {n: p.sha256 for n, p in found.items()} == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()} and {n: p.ends_open for n, p in found.items()} == {"a.csv": False, "b.csv": True, "c.csv": False, "d.csv": False, "e.csv": False}
+    assert {n: p.encoding for n, p in found.items()} == {"a.csv": "utf-8", "b.csv": "utf-8", "c.csv": "utf-8", "d.csv": "utf-16", "e.csv": "cp1252"} and files.probe_files(spark, []) == {}
+
+
 def test_unclosed_quote_and_empty_files(spark, tmp_path):
     loaded = files.load(spark, put(tmp_path, "u.csv", b'A;B\n1;2\n3;"never\n4;5\n'))
     assert [tuple(r) for r in loaded.table.collect()] == [("1", "2")] and [r.reason for r in loaded.rejects.collect()] == ["unclosed_quote"]

@@ -63,6 +63,14 @@ def test_blocking(spark, project, tmp_path):
         pipeline.execute(spark, project, REGISTRY)
 
 
+def test_rejects_of_the_run(spark, project, tmp_path):
+    (tmp_path / "in" / "t023.csv").write_text("MATKL\nA\nB;x\nB;x\nC")
+    ingested = pipeline.ingest(spark, project, REGISTRY, str(tmp_path / "s"))
+    entry = next(e for e in ingested.files if e["table"] == "T023")
+    assert (entry["rows"], entry["rejected"], entry["rejected_distinct"], entry["incomplete_last_line"], entry["reject_samples"]) == (2, 2, 1, True, ["B;x", "B;x"])
+    assert {(c.check, c.level) for c in ingested.checks if c.table == "T023"} == {("parse", "error"), ("parse", "warning")}
+
+
 def test_configuration(tmp_path):
     (tmp_path / "p.yaml").write_text("what: 1")
     with pytest.raises(ConfigError):
