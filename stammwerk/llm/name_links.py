@@ -9,7 +9,7 @@ with probability 1 - (1 - s ** ROWS) ** BANDS: 0.97 at 0.4 (two typing errors in
 (unrelated names). A band key is combined with
 evidence that a pair has to share anyway: street with postcode, street with city, postcode with city, or one half of the VAT id (each
 with three fifths of the bands, overlapping, so that a pair that shares all is covered by all bands); street,
-postcode or city alone, for records with gaps, with BANDS bands of one more row (0.99 at 0.6 and 0.93 at 0.5, letters replaced or swapped in a stem of ten; nothing at 0.05), the whole VAT id with SINGLE bands of one row (0.98 at a third), and street, postcode or city alone with the whole stems. So a site or a name that fills a large part of
+postcode or city alone, for records with gaps, with BANDS bands of one more row (0.99 at 0.6 and 0.93 at 0.5, letters replaced or swapped in a stem of ten; nothing at 0.05), and the whole VAT id with SINGLE bands of one row (0.98 at a third). So a site or a name that fills a large part of
 the table does not by itself make a large bucket, and exact copies are collapsed to one representative before.
 
 Verification. Monge-Elkan: the mean over the stems of the best similarity (1 - Damerau-Levenshtein distance / length; an initial
@@ -405,7 +405,6 @@ def band_keys(records: DataFrame) -> DataFrame:
                 (0, street and post and f"sp{street}|{post}"), (1, street and row.city and f"sc{street}|{row.city}"), (2, post and row.city and f"pc{post}|{row.city}"),
                 (0, row.vat and f"v{row.vat[:cut]}"), (1, row.vat and f"w{row.vat[cut:]}"),
                 (4, street and f"S{street}"), (4, post and f"P{post}"), (4, row.city and f"C{row.city}"), (5, row.vat and f"V{row.vat}"),
-                (3, street and f"s{street}|{row.stems}"), (3, post and f"p{post}|{row.stems}"), (3, row.city and f"c{row.city}|{row.stems}"),
             ):
                 if text:
                     texts.append(text)
@@ -413,7 +412,7 @@ def band_keys(records: DataFrame) -> DataFrame:
                     which.append(code)
         proof = pd.util.hash_array(np.array(texts, dtype=object)) if texts else np.zeros(0, np.uint64)
         rows, code, ids = np.array(owner, dtype=np.int64), np.array(which), part.id.to_numpy()[good]
-        keys, own = [proof[code == 3]], [ids[rows[code == 3]]]
+        keys, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for c, used in enumerate((first, last, middle)):
             at = np.flatnonzero(code == c)
             made = bands[rows[at], used] + proof[at, None] * np.uint64(0x9E3779B97F4A7C15)
@@ -517,7 +516,10 @@ def linked_names(df: DataFrame) -> DataFrame:
     pairs = met_in_buckets(band_keys(classes), scratch)
     side = lambda p: classes.select(F.col("id").alias(p), *(F.col(f).alias(f"{p}_{f}") for f in fields))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{p}_{f}" for p in "ab" for f in fields))
-    clusters = star_clusters(scratch.write(_verify(full)), scratch)
+    # what `names_agree` asks for without looking at letters: both firms or both persons, as many stems, no two lines of business
+    firm = F.col("a_given") == ""
+    may = (firm == (F.col("b_given") == "")) & (~firm | ((F.size(F.split("a_stems", r"\|")) == F.size(F.split("b_stems", r"\|"))) & ((F.col("a_line") == "") | (F.col("b_line") == "") | (F.col("a_line") == F.col("b_line")))))
+    clusters = star_clusters(scratch.write(_verify(full.filter(may))), scratch)
     placed = classes.join(clusters, "id", "left").filter("cluster IS NOT NULL OR n > 1").withColumn("cluster", F.coalesce("cluster", "id"))
     same = [F.col(f"p.{f}") == F.col(f"c.{f}") for f in fields]
     condition = same[0]
